@@ -136,7 +136,7 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def sized_batches(batches, limit: int = 8 << 20, column: str = "text"):
+def sized_batches(batches, limit: int = 2 << 20, column: str = "text"):
     """The same rows in batches of at most about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
