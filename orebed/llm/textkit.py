@@ -58,7 +58,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buffers = col.buffers()
     offsets = np.frombuffer(buffers[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
-    return data, offsets
+    return data[int(offsets[0]) : int(offsets[-1])], offsets - offsets[0]  # a slice sees its own bytes only
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
