@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import Scratch
+from .scratch import Scratch, most_frequent
 
 END = np.uint64(0x656E645F6F665F74)
 LOG10 = np.log(10.0)
@@ -245,7 +245,7 @@ class MaxentScorer:
         seen = Observation()
         counts = self.docs.where("not held_out").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         counts = self.scratch.keep(counts.observe(seen, F.sum("c").alias("n"), F.count("*").alias("v")), "counts")
-        top = counts.orderBy(F.desc("c"), "h").limit(self.q.hot).toPandas()
+        top = most_frequent(counts, "c", self.q.hot).toPandas().sort_values(["c", "h"], ascending=[False, True])
         return counts, Model(self.q, top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), seen.get["n"] or 0, seen.get["v"] or 0)
 
     def learn(self, model: Model) -> None:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +45,20 @@ class Scratch:
 
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+
+def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows with the greatest counts, at most ``limit`` of them.
+
+    A histogram of 512 steps at most gives the least count for which the rows fit, so no
+    task sends more than its share; rows of the last step that does not fit stay out.
+    """
+    step = F.floor(F.log2(F.col(column).cast("double")) * 8).cast("int")
+    seen = {r["step"]: r["n"] for r in counts.select(step.alias("step")).groupBy("step").agg(F.count("*").alias("n")).collect()}
+    least, total = None, 0
+    for s in sorted(seen, reverse=True):
+        total += seen[s]
+        if total > limit:
+            break
+        least = s
+    return counts.where(step >= least) if least is not None else counts.limit(0)
