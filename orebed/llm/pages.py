@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .scratch import Scratch
 
 KEEP, DROP, SILENT = 1, 0, 2
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -53,7 +54,8 @@ LAYOUT = re.compile(r"(?:has|with|no|without)[-_](?:sidebar|nav|menu|ads?|banner
 class PageParams:
     long: int = 8  # tokens of a substring that counts
     covered: float = 0.8  # share of covered tokens from which a silent block goes
-    group_bytes: int = 1_000_000  # text of the pages in one group, about
+    group_bytes: int = 1_000_000  # html of the pages in one group, about
+    small_side: int = 500_000  # hosts up to which their group counts are broadcast
 
 
 def _kind(tag: str, attributes: str, in_root: bool) -> int:
@@ -211,7 +213,9 @@ def extract(pages: DataFrame, q: PageParams = PageParams()) -> DataFrame:
     # groups are sized by the bytes of html, which need no parse; parsed text is a fraction of them
     weight = source.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > q.group_bytes)
     weight = weight.select("host", F.ceil(F.col("bytes") / q.group_bytes).alias("groups"))
-    parsed = source.mapInArrow(read, schema).join(weight, "host", "left")
+    weight = Scratch(pages.sparkSession, "pages").keep(weight, "hosts")  # only hosts of more than one group
+    small = weight.count() <= q.small_side
+    parsed = source.mapInArrow(read, schema).join(F.broadcast(weight) if small else weight, "host", "left")
     parsed = parsed.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).drop("groups")
 
     def solve(table):
