@@ -20,6 +20,7 @@ import heapq
 import json
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import textkit as tk
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 #: Fixed value: the pattern by which byte-level BPE cuts a text into units.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
@@ -60,13 +61,9 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.path, self.core = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.core = None
         kind = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] == "BPE" and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not spec.get("normalizer"):
             import tiktoken
@@ -79,6 +76,14 @@ class Encoder:
             self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.units = Units(self.plain)
 
+    @cached_property
+    def model(self):
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True
+        return model
+
     def plain(self, text: str) -> bytes:
         ids = self.core.encode_ordinary(text) if self.core else self.model.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
