@@ -13,11 +13,13 @@ scan them. Sets near the boundary are in both, so every pair of sizes meets. The
 is the size up to which enumerating pairs costs less than scanning lists of the length
 that the corpus shows.
 
-Long lists are not expanded into pairs. In each round every member of a list is held
-against the list's leader only, links merge components, and lists within one component
-are done. When rounds no longer pay, the pairs that are left - of different components -
-are all verified. So the components are exact, whatever the group sizes. A pair is first
-bounded by the prefixes' overlap and then verified on the whole sets.
+Long lists are never expanded into pairs of rows. Classes that long lists tie together form
+a dense group; its sets are dealt by size into blocks of bounded bytes, blocks of fitting
+sizes meet, and all intersections of two blocks come from matrix products over their common
+shingles. A meeting of blocks sends on a spanning forest of its links, not all links. Pairs
+in short lists are counted by the keys they share, which bounds their overlap, and verified
+on their whole sets, unless they are in one component by then. So every link between
+different sets is looked at, and the components are exact, whatever the group sizes.
 
 Defined cases: null or empty text has an empty set, 0 shingles, and is its own component;
 a text of fewer words than a shingle is one shingle; repeated rows share a class; rows
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, most_frequent
 
 
 @dataclass(frozen=True)
@@ -46,11 +48,13 @@ class JoinParams:
     words: int = 5
     num: int = 80
     den: int = 100
-    frequent: int = 24  # lists longer than this are moved to the end of the order
-    order_entries: int = 400_000  # most frequent shingles ranked by count; others by hash. Any order is exact
+    frequent: int = 8  # shingles of longer lists are moved to the end of the order
+    order_entries: int = 600_000  # most frequent shingles ranked by count; others by hash. Any order is exact
     verify_cost: float = 4.0  # of a candidate, against one list entry
     small_side: int = 500_000  # rows up to which a side is broadcast
-    rounds: int = 12
+    long: int = 32  # a list of more classes is scanned in blocks
+    block_items: int = 262_144  # shingles of the sets in one block, about
+    block_sets: int = 1024  # sets in one block, about
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -107,6 +111,7 @@ def boundary(mean_list: float, q: JoinParams) -> int:
 class JaccardJoin:
     def __init__(self, spark: SparkSession, documents: DataFrame, q: JoinParams = JoinParams()) -> None:
         self.spark, self.q = spark, q
+        self.classes: DataFrame | None = None  # (fp, lead): the smallest doc_id of each class
         self.docs = documents.selectExpr("cast(doc_id as long) doc_id", "text")
         self.scratch = Scratch(spark, "jaccard")
 
@@ -140,7 +145,7 @@ class JaccardJoin:
         seen = Observation()
         lists = lists.observe(seen, F.sum("c").alias("entries"), F.sum(F.col("c") * F.least("c", F.lit(q.frequent))).alias("met"))
         often = self.scratch.keep(lists.where(F.col("c") > q.frequent), "often")
-        top = often.orderBy(F.desc("c"), "k").limit(q.order_entries).toPandas()
+        top = most_frequent(often, "c", q.order_entries).toPandas()
         hashes, counts = top["k"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
         order = np.argsort(hashes)
         entries = seen.get["entries"] or 1
@@ -173,53 +178,107 @@ class JaccardJoin:
         return self.docs.mapInArrow(keys, "doc_id long, n long, fp long, pre array<long>")
 
     def entries(self, heads: DataFrame, small: int) -> DataFrame:
-        """(k, fp, n) of every key that at least two classes hold."""
+        """(k, light, fp, n) of every key that at least two classes hold; light keys are pairs of shingles."""
         q = self.q
-        single = f"case when {q.den} * n > {q.num * small} then slice(pre, 1, cast(n - ceil({q.num} * n / {q.den}) + 1 as int)) else array() end"
-        pairs = f"case when n <= {small} and n > 3 then flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(least(x, y), greatest(x, y), 2)))) else array() end"
-        rows = heads.where("size(pre) > 0").selectExpr(f"explode(concat({single}, {pairs})) k", "fp", "n")
+        single = f"case when {q.den} * n > {q.num * small} then transform(slice(pre, 1, cast(n - ceil({q.num} * n / {q.den}) + 1 as int)), x -> named_struct('k', x, 'light', false)) else array() end"
+        pairs = f"case when n <= {small} and n > 3 then flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> named_struct('k', xxhash64(least(x, y), greatest(x, y), 2), 'light', true)))) else array() end"
+        rows = heads.where("size(pre) > 0").selectExpr(f"explode(concat({single}, {pairs})) e", "fp", "n").select("e.k", "e.light", "fp", "n")
         lists = rows.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k")
         return rows.join(lists, "k").dropDuplicates(["k", "fp"])
 
     # ---- verification -----------------------------------------------------------------
 
-    def similar(self, pairs: DataFrame, cards: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
-        """Those of pairs(a, b) that link; cards: (fp, n, pre); classes: (fp, lead)."""
-        q, keep = self.q, self.scratch.keep
-        left, right = cards.toDF("a", "na", "pa"), cards.toDF("b", "nb", "pb")
-        near = pairs.join(left, "a").join(right, "b").where(
-            f"size(array_intersect(pa, pb)) + greatest(na - size(pa), nb - size(pb)) >= ceil({q.num} * (na + nb) / {q.num + q.den})").select("a", "b")
-        near = keep(near, f"near-{tag}")
-        wanted = near.selectExpr("a fp").union(near.selectExpr("b fp")).distinct().join(classes, "fp")
-        wanted = keep(wanted, f"wanted-{tag}")
-        few = wanted.count() <= q.small_side
-        wanted = F.broadcast(wanted) if few else wanted
-        texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["lead"])).select("fp", "text")
+    def sets_of(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(fp, items): the whole sets of wanted(fp), each read from one of its documents."""
+        q = self.q
+        wanted = self.scratch.keep(wanted.select("fp").distinct().join(self.classes, "fp"), f"wanted-{name}")
+        side = F.broadcast(wanted) if wanted.count() <= q.small_side else wanted
+        texts = self.docs.join(side, self.docs["doc_id"].eqNullSafe(side["lead"])).select("fp", "text")
 
         def sets(batches):
             for batch in tk.sized_batches(batches):
-                fps = batch.column(0).to_pylist()
-                for f, a in zip(fps, shingle_sets(*tk.text_buffers(batch.column(1)), q.words), strict=True):
+                fps, items = [], []
+                for f, a in zip(batch.column(0).to_pylist(), shingle_sets(*tk.text_buffers(batch.column(1)), q.words), strict=True):
                     if fingerprint(a) == f:  # a repeated doc_id may stand for another text
-                        yield pa.record_batch([pa.array([f], pa.int64()), pa.array([a.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "items"])
-
-        whole = keep(texts.mapInArrow(sets, "fp long, items array<long>").dropDuplicates(["fp"]), f"sets-{tag}")
-        both = near.join(whole.toDF("a", "xa"), "a").join(whole.toDF("b", "xb"), "b")
-        both = both.selectExpr("a", "b", "cast(size(xa) + size(xb) as long) n", "cast(size(array_intersect(xa, xb)) as long) i")
-        out = keep(both.where(f"{q.den} * i >= {q.num} * (n - i)").select("a", "b"), f"links-{tag}")
-        self.scratch.drop(f"sets-{tag}", f"wanted-{tag}", f"near-{tag}")
+                        fps.append(f)
+                        items.append(a.view(np.int64))
+                sizes = np.cumsum([0, *map(len, items)])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)))
+                yield pa.record_batch([pa.array(fps, pa.int64()), lists], names=["fp", "items"])
+
+        return self.scratch.keep(texts.mapInArrow(sets, "fp long, items array<long>").dropDuplicates(["fp"]), f"sets-{name}")
+
+    def dense_groups(self, members: DataFrame) -> DataFrame:
+        """(fp, n, dense): classes that long lists tie together."""
+        lists = members.groupBy("k").agg(F.count("*").alias("s"), F.min("fp").alias("lead")).where(F.col("s") > self.q.long).select("k", "lead")
+        ties = members.join(lists, "k").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
+        groups = connected_components(ties, self.scratch, "dense").toDF("fp", "dense")
+        return self.scratch.keep(groups.join(members.select("fp", "n").distinct(), "fp"), "dense")
+
+    def dense_links(self, dense: DataFrame) -> DataFrame:
+        """Links within dense groups: a spanning forest of each meeting of two blocks."""
+        q, keep = self.q, self.scratch.keep
+        # sets that link differ by at most one class of size
+        level = F.floor(F.log("n") / F.log(F.lit(q.den / q.num)) + 1e-9).cast("int")
+        rows = dense.withColumn("level", level)
+        counts = rows.groupBy("dense", "level").agg(F.ceil(F.greatest(F.sum("n") / q.block_items, F.count("*") / q.block_sets)).cast("int").alias("blocks"))
+        rows = rows.join(counts, ["dense", "level"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        rows = rows.join(self.sets_of(dense, "dense"), "fp").select("dense", "level", "block", "fp", "items")
+
+        def pack(table):
+            lists = table.column("items").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy()
+            key = {c: table.column(c)[:1] for c in ("dense", "level", "block")}
+            return pa.table({**key, "fps": pa.array([table.column("fp").to_numpy().astype(np.int64).tobytes()]), "sizes": pa.array([sizes.astype(np.int64).tobytes()]), "flat": pa.array([flat.astype(np.int64).tobytes()])})
+
+        packed = keep(rows.groupBy("dense", "level", "block").applyInArrow(pack, "dense long, level int, block int, fps binary, sizes binary, flat binary"), "blocks")
+        names = packed.select("dense", "level", "block")
+        x, y = names.toDF("dense", "level", "block"), names.toDF("dense", "level2", "block2")
+        same = x.join(y.withColumn("level", F.col("level2")), ["dense", "level"]).where("block <= block2").select("dense", "level", "block", "level2", "block2")
+        next_ = x.join(y.withColumn("level", F.col("level2") - 1), ["dense", "level"]).select("dense", "level", "block", "level2", "block2")
+        meetings = same.union(next_)
+        meetings = meetings.join(packed, ["dense", "level", "block"]).join(packed.toDF("dense", "level2", "block2", "fps2", "sizes2", "flat2"), ["dense", "level2", "block2"])
+        meetings = meetings.selectExpr("fps", "sizes", "flat", "fps2", "sizes2", "flat2").repartition(F.xxhash64("fps", "fps2"))
+
+        def meet(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    one = [np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in range(6)]
+                    a, b = block_links(*one, q.num, q.den)
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            tk.hand_back()
+
+        out = keep(meetings.mapInArrow(meet, "a long, b long"), "dense-links")
+        self.scratch.drop("blocks", "sets-dense", "wanted-dense")
         return out
 
-    # ---- rounds -----------------------------------------------------------------------
+    def open_pairs(self, members: DataFrame) -> DataFrame:
+        """Pairs of short lists that may link, of different components and dense groups.
 
-    def relabel(self, members: DataFrame, links: DataFrame, tag: str) -> DataFrame:
-        """members(k, fp, n, comp) after links merge components; lists within one component leave."""
-        ends = members.select("fp", "comp").distinct()
-        edges = links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").selectExpr("ca a", "cb b").distinct()
-        merged = connected_components(edges, self.scratch, f"cc-{tag}").toDF("comp", "to")
-        new = members.join(merged, "comp", "left").selectExpr("k", "fp", "n", "coalesce(to, comp) comp")
-        live = new.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
-        return self.scratch.keep(new.join(live, "k", "left_semi"), f"members-{tag}"), merged
+        Two classes that are in no dense group together share short lists only, so the count
+        of their shared keys is whole, and bounds their overlap.
+        """
+        q = self.q
+        x, y = members.toDF("k", "light", "a", "n", "ca", "da"), members.drop("light").toDF("k", "b", "ln", "cb", "db")
+        fits = f"{q.den} * least(n, ln) >= {q.num} * greatest(n, ln)"
+        met = x.join(y, "k").where("a < b and ca <> cb and coalesce(da <> db, true)").where(fits)
+        met = met.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("ln").alias("ln"), F.sum(F.when(F.col("light"), 1).otherwise(0)).alias("pairs"), F.sum(F.when(F.col("light"), 0).otherwise(1)).alias("ones"))
+        rest = f"greatest(ceil({q.num} * n / {q.den}) - 1, ceil({q.num} * ln / {q.den}) - 1)"  # beyond the prefix
+        need = f"ceil({q.num} * (n + ln) / {q.num + q.den})"
+        light = f"pairs > 0 and (1 + sqrt(1 + 8 * pairs)) / 2 + 0.001 + {rest} - 1 >= {need}"
+        return met.where(f"ones > 0 and ones + {rest} >= {need} or {light}").select("a", "b")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that link, by their whole sets."""
+        q = self.q
+        pairs = self.scratch.keep(pairs, "pairs")
+        whole = self.sets_of(pairs.selectExpr("a fp").union(pairs.selectExpr("b fp")), "open")
+        both = pairs.join(whole.toDF("a", "xa"), "a").join(whole.toDF("b", "xb"), "b")
+        both = both.selectExpr("a", "b", "cast(size(xa) + size(xb) as long) n", "cast(size(array_intersect(xa, xb)) as long) i")
+        out = self.scratch.keep(both.where(f"{q.den} * i >= {q.num} * (n - i)").select("a", "b"), "open-links")
+        self.scratch.drop("sets-open", "wanted-open", "pairs")
+        return out
 
     def components(self) -> DataFrame:
         q, keep = self.q, self.scratch.keep
@@ -227,48 +286,63 @@ class JaccardJoin:
         small = boundary(mean_list, q)
         heads = keep(self.prefixes(hashes, ranks, small), "heads")
         self.scratch.free_shuffles()
-        classes = keep(heads.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("lead"), F.max("n").alias("n")), "classes")
-        members = keep(self.entries(heads, small).withColumn("comp", F.col("fp")), "members-start")
+        self.classes = classes = keep(heads.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("lead")), "classes")
+        members = keep(self.entries(heads, small), "members")
         self.scratch.free_shuffles()
-        used = members.select("fp").distinct()
-        cards = heads.where("size(pre) > 0").join(used, "fp", "left_semi").dropDuplicates(["fp"])
-        cards = keep(cards.selectExpr("fp", "n", f"slice(pre, 1, cast(n - ceil({q.num} * n / {q.den}) + 1 as int)) pre"), "cards")
-        fits = f"{q.den} * least(n, ln) >= {q.num} * greatest(n, ln)"
-        leads = classes.select("fp", "lead")
-        labels = keep(used.selectExpr("fp", "fp comp"), "labels-start")
-        tested, before, tag = None, None, "start"
-        for turn in range(q.rounds + 1):
-            per = members.groupBy("k", "comp").count().groupBy("k").agg(F.sum("count").alias("s"), F.sum(F.col("count") ** 2).alias("s2"))
-            left = per.agg(F.sum((F.col("s") ** 2 - F.col("s2")) / 2).alias("p"), F.sum("s").alias("e")).first()
-            open_pairs, size = left["p"] or 0, left["e"] or 0
-            if not open_pairs:
-                break
-            last = turn == q.rounds or turn and (open_pairs <= size / 2 or open_pairs > 0.8 * before)
-            before = open_pairs
-            if last:
-                x, y = members.toDF("k", "a", "n", "ca"), members.toDF("k", "b", "ln", "cb")
-                pairs = x.join(y, "k").where("a < b and ca <> cb").where(fits).select("a", "b").distinct()
-            else:
-                lead = members.groupBy("k").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "n", "comp")).alias("l")).select("k", "l.fp", "l.n", "l.comp").toDF("k", "lf", "ln", "lc")
-                pairs = members.join(lead, "k").where("comp <> lc").where(fits).selectExpr("least(fp, lf) a", "greatest(fp, lf) b").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = keep(pairs, f"pairs-{turn}")
-            links = self.similar(pairs, cards, leads, str(turn))
-            tested = pairs if tested is None else tested.union(pairs)
-            members, merged = self.relabel(members, links, str(turn))
-            labels = keep(labels.join(merged, "comp", "left").selectExpr("fp", "coalesce(to, comp) comp"), f"labels-{turn}")
-            self.scratch.drop(f"members-{tag}", f"labels-{tag}")
-            tag = str(turn)
-            self.scratch.free_shuffles()
-            if last:
-                break
-        named = labels.where("fp <> comp").union(labels.where("fp <> comp").selectExpr("comp", "comp")).distinct().join(leads, "fp")
+        dense = self.dense_groups(members)
+        inner = connected_components(self.dense_links(dense), self.scratch, "inner").toDF("fp", "comp")
+        short = members.groupBy("k").agg(F.count("*").alias("s")).where(F.col("s") <= q.long).select("k")
+        known = keep(dense.select("fp", "dense").join(inner, "fp", "left"), "known")
+        open_ = members.join(short, "k").join(known, "fp", "left").selectExpr("k", "light", "fp", "n", "coalesce(comp, fp) comp", "dense")
+        links = self.similar(self.open_pairs(open_))
+        self.scratch.free_shuffles()
+        labels = connected_components(links.union(inner.select("fp", "comp")), self.scratch, "whole").toDF("fp", "comp")
+        named = labels.join(classes, "fp")
         least = named.groupBy("comp").agg(F.min("lead").alias("cid"))
         ids = classes.join(named.join(least, "comp").select("fp", "cid"), "fp", "left").selectExpr("fp", "coalesce(cid, lead) cid")
         return heads.select("doc_id", "n", "fp").join(ids, "fp", "left").selectExpr("doc_id", "n n_shingles", "case when n = 0 then doc_id else cid end component_id")
 
 
+def block_links(fps, sizes, flat, fps2, sizes2, flat2, num: int, den: int, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks of sets (given flat, one after another)."""
+    shared = np.intersect1d(flat, flat2)
+    row, row2 = np.repeat(np.arange(len(fps)), sizes), np.repeat(np.arange(len(fps2)), sizes2)
+    place, place2 = np.searchsorted(shared, flat), np.searchsorted(shared, flat2)
+    if len(shared):
+        ok = shared[np.minimum(place, len(shared) - 1)] == flat
+        ok2 = shared[np.minimum(place2, len(shared) - 1)] == flat2
+        row, place, row2, place2 = row[ok], place[ok], row2[ok2], place2[ok2]
+        order, order2 = np.argsort(place, kind="stable"), np.argsort(place2, kind="stable")
+        row, place, row2, place2 = row[order], place[order], row2[order2], place2[order2]
+    common = np.zeros((len(fps), len(fps2)), np.float32)  # counts below 2**24 are exact
+    for lo in range(0, len(shared), width):
+        i, j = np.searchsorted(place, [lo, lo + width])
+        i2, j2 = np.searchsorted(place2, [lo, lo + width])
+        x = np.zeros((len(fps), min(width, len(shared) - lo)), np.float32)
+        y = np.zeros((len(fps2), x.shape[1]), np.float32)
+        x[row[i:j], place[i:j] - lo] = 1
+        y[row2[i2:j2], place2[i2:j2] - lo] = 1
+        common += x @ y.T
+    total = sizes[:, None] + sizes2[None, :]
+    a, b = np.nonzero(den * common.astype(np.int64) >= num * (total - common.astype(np.int64)))
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    out: list[tuple[int, int]] = []
+    for u, v in zip(fps[a].tolist(), fps2[b].tolist(), strict=True):
+        ru, rv = find(u), find(v)
+        if ru != rv:
+            up[ru] = rv
+            out.append((u, v))
+    got = np.array(out, np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
 def jaccard_components(documents: DataFrame, q: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     return JaccardJoin(documents.sparkSession, documents, q).components()

@@ -32,7 +32,7 @@ def brute(rows):
     return sorted(((rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("q", [jaccard.JoinParams(), jaccard.JoinParams(frequent=2, small_side=0, rounds=1), jaccard.JoinParams(verify_cost=0.0)])
+@pytest.mark.parametrize("q", [jaccard.JoinParams(), jaccard.JoinParams(frequent=2, small_side=0, long=2, block_items=300), jaccard.JoinParams(verify_cost=0.0, long=1)])
 def test_components_equal_brute_force(spark, q):
     rows = doc_rows()
     got = jaccard.jaccard_components(doc_frame(spark, rows), q).collect()
@@ -55,3 +55,19 @@ def test_prefix_follows_one_order():
 def test_boundary_grows_with_list_length():
     q = jaccard.JoinParams()
     assert jaccard.boundary(1.0, q) <= jaccard.boundary(3.0, q)
+
+
+def test_block_links_span_all_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 10**6, 40)
+    sets = [np.unique(np.concatenate([base[rng.random(40) < 0.93], rng.integers(0, 10**6, int(rng.integers(0, 4)))])) for _ in range(60)]
+    sizes, flat, fps = np.array([len(s) for s in sets]), np.concatenate(sets), np.arange(60)
+    a, b = jaccard.block_links(fps, sizes, flat, fps, sizes, flat, 80, 100, width=16)
+    def close(links):
+        up = list(range(60))
+        for x, y in links:
+            p, q = up[x], up[y]
+            up = [q if u == p else u for u in up]
+        return {frozenset(i for i in range(60) if up[i] == u) for u in up}
+    want = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert close(zip(a.tolist(), b.tolist(), strict=True)) == close(want) and len(a) < 60 <= len(want)
