@@ -5,11 +5,11 @@ and sorted by their suffixes (prefix doubling on token ranks, up to ``long`` tok
 every substring of at least that length that stands on two distinct pages is found; its
 tokens are covered. A block whose tokens are mostly covered is boilerplate.
 
-Repetition alone cannot give the article: copies of an article repeat across pages and
-must stay, and menus or adverts may be unique. So markup has the last word where it
-speaks: blocks inside article or main stay, blocks inside navigation, headers, footers,
-asides, forms, adverts, notices and comments go, and on pages with an article or main so
-does all that is outside. Every other block is kept unless the suffix array covers it.
+Repetition decides over every visible block, inside and outside article or main. Two
+things it cannot tell: menus or adverts may be unique, so blocks that markup names
+navigation, headers, footers, asides, forms, adverts, notices or comments are not visible;
+and copies of an article repeat across pages and must stay, so when at least the share
+``copied`` of all tokens inside a page's article or main is covered, those blocks stay.
 
 A host's pages are dealt into groups of bounded size, so a host that holds a third of all
 pages is many tasks; boilerplate repeats within every group.
@@ -53,7 +53,8 @@ LAYOUT = re.compile(r"(?:has|with|no|without)[-_](?:sidebar|nav|menu|ads?|banner
 @dataclass(frozen=True)
 class PageParams:
     long: int = 8  # tokens of a substring that counts
-    covered: float = 0.8  # share of covered tokens from which a silent block goes
+    covered: float = 0.8  # share of covered tokens from which a block goes
+    copied: float = 0.5  # share of covered tokens from which an article or main is a copy and stays whole
     group_bytes: int = 1_000_000  # html of the pages in one group, about
     small_side: int = 500_000  # hosts up to which their group counts are broadcast
 
@@ -82,8 +83,8 @@ def _kind(tag: str, attributes: str, in_root: bool) -> int:
     return KEEP if root or role == "main" or got.get("itemprop", "").lower() == "articlebody" else SILENT
 
 
-def parse(page: str) -> list[tuple[str, int]]:
-    """Blocks of a page in order: text, and whether markup keeps it, drops it, or is silent."""
+def visible(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """Blocks of a page in order (text, KEEP or SILENT), and whether it has an article or main."""
     blocks: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
@@ -144,7 +145,13 @@ def parse(page: str) -> list[tuple[str, int]]:
         stack.append((tag, inner))
         state = inner
     flush()
-    return [(t, k) for t, k in blocks if k == KEEP or k == SILENT and not roots]
+    return [(t, k) for t, k in blocks if k != DROP], roots
+
+
+def parse(page: str) -> list[tuple[str, int]]:
+    """Blocks of a page by markup alone: those inside article or main, or all visible ones of a page without."""
+    blocks, roots = visible(page)
+    return [(t, k) for t, k in blocks if k == KEEP or not roots]
 
 
 def covered_tokens(ranks: np.ndarray, page: np.ndarray, long: int) -> np.ndarray:
@@ -185,12 +192,15 @@ def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams) -> li
     page = np.repeat(page_of_block, np.diff(at))
     _, ranks = np.unique(h, return_inverse=True)
     cover = np.concatenate([[0], np.cumsum(covered_tokens(ranks, page, q.long))])
-    share = (cover[at[1:]] - cover[at[:-1]]) / np.maximum(1, np.diff(at)) if len(flat) else np.zeros(0)
+    size, seen = np.diff(at), cover[at[1:]] - cover[at[:-1]]
+    inside = np.array([k == KEEP for _, kinds in pages for k in kinds], bool)
+    rooted, met = (np.bincount(page_of_block[inside], x[inside], len(pages)) for x in (size, seen))
+    copy = (met >= q.copied * rooted) & (met > 0)
+    stays = (seen < q.covered * np.maximum(1, size)) | inside & copy[page_of_block]
     out, b = [], 0
-    for texts, kinds in pages:
-        good = [t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k == KEEP or share[b + i] < q.covered]
+    for texts, _ in pages:
+        out.append("\n\n".join(t for i, t in enumerate(texts) if stays[b + i]))
         b += len(texts)
-        out.append("\n\n".join(good))
     return out
 
 
@@ -202,7 +212,7 @@ def extract(pages: DataFrame, q: PageParams = PageParams()) -> DataFrame:
         for batch in tk.sized_batches(batches, column="html"):
             texts, kinds, sizes = [], [], []
             for page in batch.column(2).to_pylist():
-                got = parse(page or "")
+                got, _ = visible(page or "")
                 texts.append([t for t, _ in got])
                 kinds.append([k for _, k in got])
                 sizes.append(sum(len(t) for t, _ in got))

@@ -62,3 +62,16 @@ def test_repeated_blocks_go_and_unique_runs_stay(spark):
     parts = pages.extract(spark.createDataFrame(rows, SCHEMA), pages.PageParams(group_bytes=3000)).collect()
     assert len(parts) == len(rows)
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repetition_decides_inside_and_outside_the_article():
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line, around, copied = text(9), text(12), text(60)
+    own, out = [text(40) for _ in range(5)], [text(10) for _ in range(5)]
+    rows = [f"<nav>{text(9)}</nav><div>{around}</div><article><p>{own[i]}</p><p>{line}</p></article><div>{out[i]}</div>" for i in range(5)]
+    rows += [f"<article><p>{copied}</p><p>{text(5)}</p></article>" for _ in range(2)]
+    blocks = [pages.visible(r)[0] for r in rows]
+    got = pages.select_blocks([([t for t, _ in b], [k for _, k in b]) for b in blocks], pages.PageParams())
+    assert got[:5] == [f"{own[i]}\n\n{out[i]}" for i in range(5)]  # the shared line goes though inside, unique text stays though outside
+    assert all(g.startswith(copied) for g in got[5:])  # a copied article stays
