@@ -15,9 +15,8 @@ A host's pages are dealt into groups of bounded size, so a host that holds a thi
 pages is many tasks; boilerplate repeats within every group.
 
 Defined cases: null or empty html has an empty text; a null url is a host of its own; a
-null page_id stays null; repeated rows are pages of equal text each (copies do not cover
-each other's articles, see above, but a copy counts as a distinct page); extra columns are
-ignored; an empty table gives an empty result; unclosed or stray tags, comments and quotes
+null page_id stays null; pages of equal visible tokens are copies, which count as one page
+where repeats are sought and have equal text each; extra columns are ignored; an empty table gives an empty result; unclosed or stray tags, comments and quotes
 are read as far as they go; whole pages are parsed, however long.
 """
 
@@ -183,15 +182,32 @@ def covered_tokens(ranks: np.ndarray, page: np.ndarray, long: int) -> np.ndarray
     return np.cumsum(marks[:n]) > 0
 
 
+def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each page's token stream; begins: first token of each page (pages + 1)."""
+    size = np.diff(begins)
+    up = np.cumprod(np.full(int(size.max(initial=0)) + 1, tk.MULS[0] | np.uint64(1)))
+    inside = np.arange(len(h)) - np.repeat(begins[:-1], size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[inside], dtype=np.uint64)])
+    return tk.mix(total[begins[1:]] - total[begins[:-1]] + size.astype(np.uint64))
+
+
 def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams) -> list[str]:
-    """The main text of each page of one host's group."""
+    """The main text of each page of one host's group; pages of equal tokens count as one page."""
     flat = [t for texts, _ in pages for t in texts]
     data, offsets = tk.text_buffers(pa.array(flat, pa.string()))
     h, _, _, at = tk.words(data, offsets)
     page_of_block = np.repeat(np.arange(len(pages)), [len(t) for t, _ in pages])
-    page = np.repeat(page_of_block, np.diff(at))
-    _, ranks = np.unique(h, return_inverse=True)
-    cover = np.concatenate([[0], np.cumsum(covered_tokens(ranks, page, q.long))])
+    begins = at[np.concatenate([[0], np.cumsum([len(t) for t, _ in pages])]).astype(np.int64)]
+    count = np.diff(begins)
+    _, first, same = np.unique(signatures(h, begins), return_index=True, return_inverse=True)
+    page = np.repeat(np.arange(len(pages)), count)
+    single = np.isin(page, first)  # tokens of the first page of each class of copies
+    _, ranks = np.unique(h[single], return_inverse=True)
+    got = np.zeros(len(h), bool)
+    got[single] = covered_tokens(ranks, page[single], q.long)
+    shift = np.repeat(begins[first[same]] - begins[:-1], count)
+    got = got[np.arange(len(h)) + shift]  # copies are covered as their first page is
+    cover = np.concatenate([[0], np.cumsum(got)])
     size, seen = np.diff(at), cover[at[1:]] - cover[at[:-1]]
     inside = np.array([k == KEEP for _, kinds in pages for k in kinds], bool)
     rooted, met = (np.bincount(page_of_block[inside], x[inside], len(pages)) for x in (size, seen))

@@ -75,3 +75,13 @@ def test_repetition_decides_inside_and_outside_the_article():
     got = pages.select_blocks([([t for t, _ in b], [k for _, k in b]) for b in blocks], pages.PageParams())
     assert got[:5] == [f"{own[i]}\n\n{out[i]}" for i in range(5)]  # the shared line goes though inside, unique text stays though outside
     assert all(g.startswith(copied) for g in got[5:])  # a copied article stays
+
+
+def test_copies_without_an_article_keep_their_text():
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    legal, copied, own = text(20), text(40), text(40)
+    one = ([legal, copied], [pages.SILENT] * 2)
+    got = pages.select_blocks([one, ([], []), one, ([own, legal], [pages.SILENT] * 2), one], pages.PageParams())
+    assert got == [copied, "", copied, own, copied]
+    assert pages.select_blocks([one, one], pages.PageParams()) == [f"{legal}\n\n{copied}"] * 2
