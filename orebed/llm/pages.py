@@ -11,8 +11,11 @@ navigation, headers, footers, asides, forms, adverts, notices or comments are no
 and copies of an article repeat across pages and must stay, so when at least the share
 ``copied`` of all tokens inside a page's article or main is covered, those blocks stay.
 
-A host's pages are dealt into groups of bounded size, so a host that holds a third of all
-pages is many tasks; boilerplate repeats within every group.
+A large host's pages are dealt by their tokens into groups of about ``group_bytes``, so a
+host that holds a third of all pages is many tasks. Its windows of ``long`` tokens are met
+across groups by ranges of their hash (64 bits of a window's range and hash, 24 bits of
+its page's tokens), and those of two distinct pages or more go back to the groups that
+hold them and cover tokens as the group's own repeats do. Copies fall into one group.
 
 Defined cases: null or empty html has an empty text; a null url is a host of its own; a
 null page_id stays null; pages of equal visible tokens are copies, which count as one page
@@ -35,6 +38,8 @@ from . import textkit as tk
 from .scratch import Scratch
 
 KEEP, DROP, SILENT = 1, 0, 2
+HASH_BITS, LOW = np.uint64(40), np.uint64((1 << 40) - 1)  # of a window within its range
+SIGN_BITS, SIGN = np.uint64(24), np.uint64((1 << 24) - 1)  # of a page's tokens
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
@@ -191,13 +196,28 @@ def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return tk.mix(total[begins[1:]] - total[begins[:-1]] + size.astype(np.uint64))
 
 
-def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams) -> list[str]:
-    """The main text of each page of one host's group; pages of equal tokens count as one page."""
-    flat = [t for texts, _ in pages for t in texts]
-    data, offsets = tk.text_buffers(pa.array(flat, pa.string()))
+def page_tokens(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all pages; tokens before each block (blocks + 1) and before each page (pages + 1)."""
+    data, offsets = tk.text_buffers(pa.array([t for texts in pages for t in texts], pa.string()))
     h, _, _, at = tk.words(data, offsets)
+    return h, at, at[np.concatenate([[0], np.cumsum([len(texts) for texts in pages])]).astype(np.int64)]
+
+
+def window_keys(h: np.ndarray, begins: np.ndarray, long: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range (24 bits) and hash (40 bits) of each window of a page of a host of so many groups, and where windows start."""
+    w, whole = tk.windows(h, begins, long)
+    at = np.flatnonzero(whole)
+    w, groups = w[at], np.repeat(groups, np.diff(begins))[at].astype(np.uint64)
+    return (w >> HASH_BITS) % groups << HASH_BITS | w & LOW, at
+
+
+def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams, shared: np.ndarray | None = None, groups: int = 1) -> list[str]:
+    """The main text of each page of one host's group; pages of equal tokens count as one page.
+
+    shared: keys of the windows that stand on two distinct pages of the host or more.
+    """
+    h, at, begins = page_tokens([texts for texts, _ in pages])
     page_of_block = np.repeat(np.arange(len(pages)), [len(t) for t, _ in pages])
-    begins = at[np.concatenate([[0], np.cumsum([len(t) for t, _ in pages])]).astype(np.int64)]
     count = np.diff(begins)
     _, first, same = np.unique(signatures(h, begins), return_index=True, return_inverse=True)
     page = np.repeat(np.arange(len(pages)), count)
@@ -207,6 +227,12 @@ def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams) -> li
     got[single] = covered_tokens(ranks, page[single], q.long)
     shift = np.repeat(begins[first[same]] - begins[:-1], count)
     got = got[np.arange(len(h)) + shift]  # copies are covered as their first page is
+    if shared is not None and len(shared):
+        keys, start = window_keys(h, begins, q.long, np.full(len(pages), groups))
+        marks, hit = np.zeros(len(h) + 1, np.int64), start[np.isin(keys, shared)]
+        np.add.at(marks, hit, 1)
+        np.add.at(marks, hit + q.long, -1)
+        got |= np.cumsum(marks[:-1]) > 0
     cover = np.concatenate([[0], np.cumsum(got)])
     size, seen = np.diff(at), cover[at[1:]] - cover[at[:-1]]
     inside = np.array([k == KEEP for _, kinds in pages for k in kinds], bool)
@@ -220,19 +246,84 @@ def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams) -> li
     return out
 
 
+def shared_windows(large: DataFrame, q: PageParams) -> DataFrame:
+    """(host, part, keys): windows on two distinct pages of a host or more, for each group that holds them.
+
+    large: (html, host, groups).
+    """
+
+    def read(batches):
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        size = 0
+
+        def out():
+            hosts, ranges, counts, packed = [], [], [], []
+            for (host, groups), parts in held.items():
+                r, codes = np.concatenate(parts, axis=1)
+                order = np.lexsort((codes, r))
+                r, codes = r[order], codes[order]
+                new = np.concatenate([[True], (r[1:] != r[:-1]) | (codes[1:] != codes[:-1])])
+                r, codes = r[new], codes[new]
+                heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                for lo, hi in zip(heads, [*heads[1:], len(r)], strict=True):
+                    hosts.append(host)
+                    ranges.append(int(r[lo]))
+                    counts.append(groups)
+                    packed.append(codes[lo:hi].tobytes())
+            return pa.record_batch([pa.array(hosts, pa.string()), pa.array(ranges, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=["host", "r", "groups", "codes"])
+
+        for batch in tk.sized_batches(batches, column="html"):
+            h, _, begins = page_tokens([[t for t, _ in visible(page or "")[0]] for page in batch.column(0).to_pylist()])
+            groups = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+            keys, at = window_keys(h, begins, q.long, groups)
+            page = np.searchsorted(begins, at, "right") - 1
+            codes = np.stack([keys >> HASH_BITS, (keys & LOW) << SIGN_BITS | (signatures(h, begins) & SIGN)[page]])
+            hosts = batch.column(1).dictionary_encode()
+            number = hosts.indices.to_numpy(zero_copy_only=False)[page]
+            for k, host in enumerate(hosts.dictionary.to_pylist()):
+                mine = np.flatnonzero(number == k)
+                if len(mine):
+                    held.setdefault((host, int(groups[page[mine[0]]])), []).append(codes[:, mine])
+            size += len(keys)
+            if size > 2_000_000:
+                yield out()
+                held.clear()
+                size = 0
+        if held:
+            yield out()
+
+    def meet(table):
+        codes = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]))
+        w = codes >> SIGN_BITS
+        again = w[1:] == w[:-1]
+        codes = codes[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
+        groups, r = table.column("groups")[0].as_py(), np.uint64(table.column("r")[0].as_py())
+        part = ((codes & SIGN) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, keys = part[order], r << HASH_BITS | codes[order] >> SIGN_BITS
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        tails = [*heads[1:], len(part)] if len(part) else []
+        packed = [np.unique(keys[lo:hi]).tobytes() for lo, hi in zip(heads, tails, strict=True)]
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(heads), pa.string()), "part": pa.array(part[heads], pa.int64()), "keys": pa.array(packed, pa.binary())})
+
+    rows = large.select("html", "host", "groups").mapInArrow(read, "host string, r long, groups long, codes binary")
+    return rows.groupBy("host", "r").applyInArrow(meet, "host string, part long, keys binary")
+
+
 def extract(pages: DataFrame, q: PageParams = PageParams()) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    schema = "page_id long, url string, host string, size long, texts array<string>, kinds array<int>"
+    schema = "page_id long, url string, host string, sign long, texts array<string>, kinds array<int>"
 
     def read(batches):
         for batch in tk.sized_batches(batches, column="html"):
-            texts, kinds, sizes = [], [], []
+            texts, kinds = [], []
             for page in batch.column(2).to_pylist():
                 got, _ = visible(page or "")
                 texts.append([t for t, _ in got])
                 kinds.append([k for _, k in got])
-                sizes.append(sum(len(t) for t, _ in got))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], names=["page_id", "url", "host", "size", "texts", "kinds"])
+            h, _, begins = page_tokens(texts)
+            signs = (signatures(h, begins) & SIGN).astype(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(signs), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], names=["page_id", "url", "host", "sign", "texts", "kinds"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
@@ -240,12 +331,21 @@ def extract(pages: DataFrame, q: PageParams = PageParams()) -> DataFrame:
     weight = source.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > q.group_bytes)
     weight = weight.select("host", F.ceil(F.col("bytes") / q.group_bytes).alias("groups"))
     weight = Scratch(pages.sparkSession, "pages").keep(weight, "hosts")  # only hosts of more than one group
-    small = weight.count() <= q.small_side
-    parsed = source.mapInArrow(read, schema).join(F.broadcast(weight) if small else weight, "host", "left")
-    parsed = parsed.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).drop("groups")
-
-    def solve(table):
-        got = select_blocks(list(zip(table.column("texts").to_pylist(), table.column("kinds").to_pylist(), strict=True)), q)
+    large = weight.count()
+    few = F.broadcast(weight) if large <= q.small_side else weight
+    parsed = source.mapInArrow(read, schema).join(few, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    parsed = parsed.withColumn("part", F.col("sign") % F.col("groups")).drop("sign")
+
+    def solve(table, shared=None):
+        got = []
+        if table.num_rows:
+            keys = [np.frombuffer(x, np.uint64) for x in shared.column("keys").to_pylist()] if shared is not None else []
+            got = select_blocks(list(zip(table.column("texts").to_pylist(), table.column("kinds").to_pylist(), strict=True)), q, np.concatenate(keys) if keys else None, table.column("groups")[0].as_py())
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(got, pa.string()), "n_chars": pa.array([len(t) for t in got], pa.int64())})
 
-    return parsed.groupBy("host", "part").applyInArrow(solve, "page_id long, url string, text string, n_chars long")
+    out = "page_id long, url string, text string, n_chars long"
+    groups = parsed.groupBy("host", "part")
+    if not large:
+        return groups.applyInArrow(lambda table: solve(table), out)  # two arguments would be key and table
+    shared = shared_windows(source.join(few, "host"), q)
+    return groups.cogroup(shared.groupBy("host", "part")).applyInArrow(solve, out)

@@ -85,3 +85,22 @@ def test_copies_without_an_article_keep_their_text():
     got = pages.select_blocks([one, ([], []), one, ([own, legal], [pages.SILENT] * 2), one], pages.PageParams())
     assert got == [copied, "", copied, own, copied]
     assert pages.select_blocks([one, one], pages.PageParams()) == [f"{legal}\n\n{copied}"] * 2
+
+
+def test_groups_of_a_host_give_what_the_whole_host_gives(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        if i % 2 == 0:
+            pair = text(20)  # on two pages of the host only
+        own = text(30)
+        rows.append((i, f"http://h.example/{i}", f"<div>{own}</div><div>{pair}</div>", "x", "y"))
+        want[i] = own
+    copied = text(50)
+    rows += [(50 + k, f"http://h.example/copy{k}", f"<p>{copied}</p>", "x", "y") for k in range(4)]
+    want |= {50 + k: copied for k in range(4)}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for size in (600, 3000, 10**6):
+        got = pages.extract(frame, pages.PageParams(group_bytes=size)).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
