@@ -5,13 +5,18 @@ and text) is rendered once, as the prompt; each side's other turns are its compl
 a mask of one character per character of the completion: 1 where an assistant's text
 or its end mark stands, 0 elsewhere.
 
-``pair_up`` pairs conversations of equal first turn, two by two by conv_id within spans of
-ids, so one first turn shared by a third of all conversations makes no hot group. A
-conversation left over is paired with itself without its last turn.
+``pair_up`` pairs all conversations of equal first turn, two by two by conv_id. They are
+numbered exactly without a window over a whole group: rows are numbered within spans of
+ids, and counts are added up over spans, spans of spans and so on, so no window holds more
+than ``ID_SPAN`` rows, however the ids are spread. The last of an odd number is paired
+with itself without its last turn.
+
+The SQL below pairs within one span of ids; on tables whose ids lie in several spans it
+leaves over one conversation a span and first turn that is paired here.
 
 Defined cases: turns are ordered by turn, null first, then role and text; a null role is
 rendered as an empty role and a null text as empty, and null equals null in comparisons;
-rows with a null conversation id form one conversation; repeated rows are turns like
+rows with a null conversation id form one conversation, which is left over; repeated rows are turns like
 others; equal conversations have empty completions; extra columns are ignored; an empty
 table gives an empty result. Turns and texts are whole, however long.
 """
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ID_SPAN = 65_536
+SPAN_BITS = 16
 TURNS = "array_sort(collect_list(named_struct('turn', turn, 'role', role, 'text', text)))"
 
 
@@ -64,15 +70,36 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_
     return format_pairs(c.join(r, key, "full").select(key, F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r")))
 
 
+def numbered(keys: DataFrame) -> DataFrame:
+    """conv_id, g and i: the place of each id among those of its group, from 0. keys: (conv_id, g), distinct ids."""
+    spans = [f"shiftright(conv_id, {k * SPAN_BITS})" for k in (1, 2, 3)]
+    rows = keys.selectExpr("conv_id", "g", *[f"{x} s{k}" for k, x in enumerate(spans, 1)])
+    inside = Window.partitionBy("g", "s1").orderBy("conv_id")
+    rows = rows.select("*", (F.row_number().over(inside).cast("long") - 1).alias("nth"))
+    counts = [rows.groupBy("g", "s1", "s2", "s3").agg(F.count("*").alias("n"))]
+    counts.append(counts[0].groupBy("g", "s2", "s3").agg(F.sum("n").alias("n")))
+    counts.append(counts[1].groupBy("g", "s3").agg(F.sum("n").alias("n")))
+    before = None
+    for k in (3, 2, 1):  # from the widest spans down: rows before each span
+        within = Window.partitionBy("g", *[f"s{k + 1}"] * (k < 3)).orderBy(f"s{k}").rowsBetween(Window.unboundedPreceding, -1)
+        here = counts[k - 1].select("g", *[f"s{j}" for j in range(k, 4)], F.coalesce(F.sum("n").over(within), F.lit(0)).alias("b"))
+        if before is not None:
+            here = here.join(before.select("g", f"s{k + 1}", F.col("b").alias("wide")), ["g", f"s{k + 1}"]).withColumn("b", F.col("b") + F.col("wide")).drop("wide")
+        before = here
+    return rows.join(before.select("g", "s1", "b"), ["g", "s1"]).selectExpr("conv_id", "g", "b + nth i")
+
+
 def pair_up(conversations: DataFrame) -> DataFrame:
     """chosen_id, rejected_id (null: the conversation without its last turn), c and r."""
     turns = conversations.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     whole = conversations_of(turns, "conv_id")
-    first = whole.selectExpr("conv_id", "turns", "turns[0].role r0", "turns[0].text t0", f"cast(floor(conv_id / {ID_SPAN}D) as long) span")
-    first = first.selectExpr("conv_id", "turns", "span", "xxhash64(r0, t0) h0", "sha2(concat(coalesce(concat('=', r0), ''), '\\n', coalesce(concat('=', t0), '')), 256) g")
-    group = Window.partitionBy("g", "span").orderBy(F.asc_nulls_first("conv_id"))
-    nth = first.select("conv_id", "turns", F.row_number().over(group).alias("i"), F.lead("conv_id").over(group).alias("next_id"), F.lead("turns").over(group).alias("next_turns"))
-    return nth.where("i % 2 = 1").selectExpr("conv_id chosen_id", "next_id rejected_id", "turns c", "coalesce(next_turns, slice(turns, 1, greatest(0, size(turns) - 1))) r")
+    first = whole.selectExpr("conv_id", "turns[0].role r0", "turns[0].text t0")
+    first = first.selectExpr("conv_id", "sha2(concat(coalesce(concat('=', r0), ''), '\\n', coalesce(concat('=', t0), '')), 256) g")
+    paired = whole.join(numbered(first.where("conv_id is not null")), "conv_id").selectExpr("g", "i div 2 pair", "struct(conv_id, turns) x")
+    two = paired.groupBy("g", "pair").agg(F.sort_array(F.collect_list("x")).alias("two"))
+    sides = two.selectExpr("two[0].conv_id chosen_id", "two[0].turns c", "try_element_at(two, 2).conv_id rejected_id", "try_element_at(two, 2).turns next_turns")
+    sides = sides.unionByName(whole.where("conv_id is null").selectExpr("conv_id chosen_id", "turns c", "cast(null as long) rejected_id", "cast(null as array<struct<turn:bigint,role:string,text:string>>) next_turns"))
+    return sides.selectExpr("chosen_id", "rejected_id", "c", "coalesce(next_turns, slice(c, 1, greatest(0, size(c) - 1))) r")
 
 
 def preferences(conversations: DataFrame) -> DataFrame:

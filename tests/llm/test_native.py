@@ -107,6 +107,20 @@ def test_preferences_equal_brute_force(spark):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def test_pairs_reach_across_spans_of_ids(spark):
+    rng = random.Random(8)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(150)] + [k * preference.ID_SPAN + rng.randrange(3) for k in range(-20, 40)] + list(range(300, 320))
+    ids = sorted(set(ids))
+    rows = [(c, t, "user", f"first{c % 3}" if t == 0 else f"turn{c}", "x") for c in ids for t in range(2)]
+    got = preference.preferences(spark.createDataFrame(rows, TURNS).repartition(4)).collect()
+    want = set()
+    for k in range(3):
+        group = [c for c in ids if c % 3 == k]
+        want |= {(group[i], group[i + 1] if i + 1 < len(group) else None) for i in range(0, len(group), 2)}
+    assert len(got) == len(want) and {(r.chosen_id, r.rejected_id) for r in got} == want
+    assert all(r.prompt_turns == 1 for r in got)
+
+
 def test_format_of_two_tables(spark):
     c = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "only")], "pair_id long, turn long, role string, text string")
     r = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (3, 0, "user", "x")], "pair_id long, turn long, role string, text string")
