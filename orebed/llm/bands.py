@@ -1,7 +1,8 @@
 """Quality rules by compression bands.
 
 zstandard ratios (bytes over compressed bytes) of the whole text and of fixed chunks
-are held against limits that depend on the text's length: a ratio above the band means
+(the last one aligned to the end, so that every byte of a text of a chunk or more is
+judged) are held against limits that depend on the text's length: a ratio above the band means
 repetition, one below it means noise that no prose shows. Limits leave room on both
 sides of ordinary prose, whose ratio grows slowly with length.
 
@@ -81,7 +82,10 @@ def verdict(raw: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[
     ratio = len(raw) / len(press.compress(raw)) if raw else 0.0
     low, high = next((lo, hi) for size, lo, hi in bands.whole if len(raw) >= size)
     size, bad, n = bands.chunk_bytes, 0, 0
-    for i in range(0, len(raw) - size + 1, size):  # a tail shorter than a chunk counts in the whole only
+    starts = list(range(0, len(raw) - size + 1, size))
+    if starts and starts[-1] + size < len(raw):
+        starts.append(len(raw) - size)  # the tail is judged by a last chunk that ends with the text
+    for i in starts:
         r = size / len(press.compress(raw[i : i + size]))
         bad += not bands.chunk_band[0] <= r <= bands.chunk_band[1]
         n += 1

@@ -44,3 +44,14 @@ def test_verdicts(spark):
         ratio, bad, n, ok = bands.verdict(raw, q, press)
         assert (by[i].ratio, by[i].bad_chunks, by[i].n_chunks) == (ratio, bad, n) and by[i].kept == (ok and not by[i].base_failed)
     assert bands.compression_rules(doc_frame(spark, [])).count() == 0
+
+
+def test_the_tail_is_judged_like_the_front():
+    rng, press = random.Random(9), zstandard.ZstdCompressor(level=3)
+    q = bands.Bands(whole=((0, 0.0, 1e9),))
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400))[:1024].encode()
+    noise = bytes(rng.randrange(256) for _ in range(900))
+    assert bands.verdict(prose, q, press)[1:] == (0, 1, True)
+    for raw in (prose + noise, noise + prose):
+        assert bands.verdict(raw, q, press)[1:] == (1, 2, False)
+    assert bands.verdict(prose * 2, q, press)[2] == 2 and bands.verdict(prose[:-1], q, press)[2] == 0
