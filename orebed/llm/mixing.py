@@ -7,7 +7,8 @@ first source). As the weights add up to the period, no deadline is missed, and a
 slots a source has had t w / P blocks, less than one more or fewer. The schedule repeats
 after P slots, so it is found once, by a fold over one period, and every block's slot
 follows by arithmetic. When a source has run out its slots stay empty; the others' order
-among each other is unchanged. All documents are kept.
+among each other is unchanged. All documents are kept, unless a weights table is given: then
+documents of sources that it lacks, or whose weight is null, zero or negative, are left out.
 
 Documents are numbered without a window over a whole source: blocks of ids are counted,
 their counts added up, and rows numbered inside blocks of ids. The schedule has one row a
