@@ -13,8 +13,8 @@ and copies of an article repeat across pages and must stay, so when at least the
 
 A large host's pages are dealt by their tokens into groups of about ``group_bytes``, so a
 host that holds a third of all pages is many tasks. Its windows of ``long`` tokens are met
-across groups by ranges of their hash (64 bits of a window's range and hash, 24 bits of
-its page's tokens), and those of two distinct pages or more go back to the groups that
+across groups by ranges of their hash, as many as groups (told apart by 40 bits of hash
+within a range, and their pages by 24 bits: a mix-up is rare, not impossible), and those of two distinct pages or more go back to the groups that
 hold them and cover tokens as the group's own repeats do. Copies fall into one group.
 
 Defined cases: null or empty html has an empty text; a null url is a host of its own; a
