@@ -1,26 +1,33 @@
-"""HTML extraction with a host suffix array.
-
-Pages are parsed into blocks of text. The token streams of a host's pages are concatenated
-and sorted by their suffixes (prefix doubling on token ranks, up to ``long`` tokens), so
-every substring of at least that length that stands on two distinct pages is found; its
-tokens are covered. A block whose tokens are mostly covered is boilerplate.
+"""HTML extraction with a sampled host suffix array.
+
+Pages are parsed into blocks of text, and a host's pages form one stream of tokens. Its
+suffixes are compared by their first ``long`` tokens: two suffixes that agree there, on
+two distinct pages of the host, are a repeated substring. Suffixes are sampled, by the
+content alone: the least window hash among every ``reach`` windows in a row, and the first
+and last window of each block and page. So every repeat of ``long + reach - 1`` tokens or
+more holds a sampled suffix on both pages, sampled suffixes of one repeat overlap or touch,
+and what they span is covered; a repeat that begins or ends with a block on both pages is
+covered up to there, elsewhere it may lose up to ``reach - 1`` tokens at an end. A block
+whose tokens are mostly covered is boilerplate.
+
+Suffixes are dealt by ranges of their hash with the host mixed in, and sorted within
+their range (told apart there by 36 bits of hash, and their pages by 28 bits: a mix-up is
+rare, not impossible). The result does not depend on how many pages a host has or where
+they lie. A suffix that a task sees on two pages is known to be shared and sent on for
+matching twice only, so a line on all pages of a host makes no hot range. What is shared goes
+back to its pages by the hash of their tokens, in a join that can be split where one page has many copies.
 
 Repetition decides over every visible block, inside and outside article or main. Two
 things it cannot tell: menus or adverts may be unique, so blocks that markup names
 navigation, headers, footers, asides, forms, adverts, notices or comments are not visible;
 and copies of an article repeat across pages and must stay, so when at least the share
-``copied`` of all tokens inside a page's article or main is covered, those blocks stay.
-
-A large host's pages are dealt by their tokens into groups of about ``group_bytes``, so a
-host that holds a third of all pages is many tasks. Its windows of ``long`` tokens are met
-across groups by ranges of their hash, as many as groups (told apart by 40 bits of hash
-within a range, and their pages by 24 bits: a mix-up is rare, not impossible), and those of two distinct pages or more go back to the groups that
-hold them and cover tokens as the group's own repeats do. Copies fall into one group.
+``copied`` of all tokens inside a page's article or main is covered, those blocks stay; so
+do all blocks of a page without article or main of which the share ``whole`` is covered.
 
 Defined cases: null or empty html has an empty text; a null url is a host of its own; a
-null page_id stays null; pages of equal visible tokens are copies, which count as one page
+null page_id stays null; pages of equal visible tokens on one host are copies, which count as one page
 where repeats are sought and have equal text each; extra columns are ignored; an empty table gives an empty result; unclosed or stray tags, comments and quotes
-are read as far as they go; whole pages are parsed, however long.
+are read as far as they go (a tag with an unclosed quote ends at its first ``>``); whole pages are parsed, however long.
 """
 
 from __future__ import annotations
@@ -31,16 +38,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import Scratch
 
 KEEP, DROP, SILENT = 1, 0, 2
-HASH_BITS, LOW = np.uint64(40), np.uint64((1 << 40) - 1)  # of a window within its range
-SIGN_BITS, SIGN = np.uint64(24), np.uint64((1 << 24) - 1)  # of a page's tokens
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+HASH_BITS, LOW = np.uint64(36), np.uint64((1 << 36) - 1)  # of a window within its range
+SIGN_BITS, SIGN = np.uint64(28), np.uint64((1 << 28) - 1)  # of a page's tokens
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -59,8 +67,9 @@ class PageParams:
     long: int = 8  # tokens of a substring that counts
     covered: float = 0.8  # share of covered tokens from which a block goes
     copied: float = 0.5  # share of covered tokens from which an article or main is a copy and stays whole
-    group_bytes: int = 1_000_000  # html of the pages in one group, about
-    small_side: int = 500_000  # hosts up to which their group counts are broadcast
+    whole: float = 0.9  # share of covered tokens from which a page without article or main is a copy
+    reach: int = 8  # windows in a row of which one is sampled, at most ``long``
+    range_bytes: int = 8_000_000  # html whose suffixes are matched in one range, about
 
 
 def _kind(tag: str, attributes: str, in_root: bool) -> int:
@@ -158,35 +167,6 @@ def parse(page: str) -> list[tuple[str, int]]:
     return [(t, k) for t, k in blocks if k == KEEP or not roots]
 
 
-def covered_tokens(ranks: np.ndarray, page: np.ndarray, long: int) -> np.ndarray:
-    """Which tokens lie in a substring of at least ``long`` tokens that stands on two pages or more.
-
-    ranks: non-negative token numbers; page: the page of each token, ascending.
-    """
-    n = len(ranks)
-    if n < long:
-        return np.zeros(n, bool)
-    # suffix ranks, doubled from 1 token on; a suffix that leaves its page takes no part
-    last = np.searchsorted(page, page, "right")
-    rank, width = ranks.astype(np.int64), 1
-    while width < long:
-        step = min(width, long - width)
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - step] = rank[step:]
-        _, rank = np.unique(rank * (n + 2) + nxt + 1 if rank.max() < 2**31 else np.unique(rank, return_inverse=True)[1] * (n + 2) + nxt + 1, return_inverse=True)
-        width += step
-    whole = np.flatnonzero(np.arange(n) + long <= last)
-    order = whole[np.lexsort((page[whole], rank[whole]))]
-    r, p = rank[order], page[order]
-    heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, int)
-    tails = np.concatenate([heads[1:], [len(r)]]) if len(r) else heads
-    shared = np.repeat(p[heads] != p[tails - 1], tails - heads) if len(r) else np.zeros(0, bool)
-    marks = np.zeros(n + 1, np.int64)
-    np.add.at(marks, order[shared], 1)
-    np.add.at(marks, order[shared] + long, -1)
-    return np.cumsum(marks[:n]) > 0
-
-
 def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each page's token stream; begins: first token of each page (pages + 1)."""
     size = np.diff(begins)
@@ -203,42 +183,80 @@ def page_tokens(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, at, at[np.concatenate([[0], np.cumsum([len(texts) for texts in pages])]).astype(np.int64)]
 
 
-def window_keys(h: np.ndarray, begins: np.ndarray, long: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Range (24 bits) and hash (40 bits) of each window of a page of a host of so many groups, and where windows start."""
-    w, whole = tk.windows(h, begins, long)
-    at = np.flatnonzero(whole)
-    w, groups = w[at], np.repeat(groups, np.diff(begins))[at].astype(np.uint64)
-    return (w >> HASH_BITS) % groups << HASH_BITS | w & LOW, at
-
+def sampled(h: np.ndarray, at: np.ndarray, begins: np.ndarray, long: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where sampled suffixes start, ascending, and the hashes of their first ``long`` tokens.
 
-def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams, shared: np.ndarray | None = None, groups: int = 1) -> list[str]:
-    """The main text of each page of one host's group; pages of equal tokens count as one page.
-
-    shared: keys of the windows that stand on two distinct pages of the host or more.
+    at: tokens before each block; begins: tokens before each page.
     """
+    w, whole = tk.windows(h, begins, long)
+    if not whole.any():
+        return np.zeros(0, np.int64), w[:0]
+    marks = np.zeros(len(h), bool)
+    for edges in (at, begins):
+        long_enough = np.diff(edges) >= long
+        marks[edges[:-1][long_enough]] = True
+        marks[edges[1:][long_enough] - long] = True
+    n = len(h) - reach + 1
+    if n > 0:
+        # windows i to i + reach - 1 lie in one page when the last one does
+        best, arg = w[:n].copy(), np.arange(n)
+        for k in range(1, reach):
+            less = w[k : n + k] < best
+            best[less] = w[k : n + k][less]
+            arg[less] = np.flatnonzero(less) + k
+        page_end = np.repeat(begins[1:], np.diff(begins))[:n]
+        marks[arg[np.arange(n) + reach - 1 + long <= page_end]] = True
+    where = np.flatnonzero(marks & whole)
+    return where, w[where]
+
+
+def host_keys(w: np.ndarray, hosts: np.ndarray, bits: int) -> np.ndarray:
+    """Range (``bits`` bits) and hash (36 bits) of windows; hosts: the host's hash for each."""
+    mixed = tk.mix(w ^ hosts)
+    return (mixed >> np.uint64(64 - bits) if bits else np.zeros_like(mixed)) << HASH_BITS | mixed & LOW
+
+
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end place of each run of equal values."""
+    heads = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return heads, np.append(heads[1:], len(sorted_values)).astype(np.int64) if len(heads) else heads
+
+
+def by_sign(signs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """One row for each sign: its keys."""
+    order = np.argsort(signs, kind="stable")
+    signs, keys = signs[order], keys[order]
+    heads, tails = runs(signs)
+    return pa.record_batch([pa.array(signs[heads].astype(np.int64)), pa.array([np.unique(keys[lo:hi]).tobytes() for lo, hi in zip(heads, tails, strict=True)], pa.binary())], names=["sign", "keys"])
+
+
+def covered_tokens(h: np.ndarray, at: np.ndarray, begins: np.ndarray, hosts: np.ndarray, shared: list[np.ndarray], q: PageParams, bits: int) -> np.ndarray:
+    """Which tokens lie in the first ``long`` tokens of a shared suffix; shared: keys by page."""
+    where, w = sampled(h, at, begins, q.long, q.reach)
+    page = np.searchsorted(begins, where, "right") - 1
+    keys = host_keys(w, hosts[page], bits)
+    marks = np.zeros(len(h) + 1, np.int64)
+    cuts = np.searchsorted(page, np.arange(len(begins)))
+    for r, own in enumerate(shared):
+        if len(own) and cuts[r] < cuts[r + 1]:
+            hit = where[cuts[r] : cuts[r + 1]][np.isin(keys[cuts[r] : cuts[r + 1]], own)]
+            marks[hit] += 1
+            marks[hit + q.long] -= 1
+    return np.cumsum(marks[:-1]) > 0
+
+
+def select_blocks(pages: list[tuple[list[str], str]], hosts: np.ndarray, shared: list[np.ndarray], q: PageParams, bits: int) -> list[str]:
+    """The main text of each page. pages: block texts, and their kinds as digits."""
     h, at, begins = page_tokens([texts for texts, _ in pages])
-    page_of_block = np.repeat(np.arange(len(pages)), [len(t) for t, _ in pages])
     count = np.diff(begins)
-    _, first, same = np.unique(signatures(h, begins), return_index=True, return_inverse=True)
-    page = np.repeat(np.arange(len(pages)), count)
-    single = np.isin(page, first)  # tokens of the first page of each class of copies
-    _, ranks = np.unique(h[single], return_inverse=True)
-    got = np.zeros(len(h), bool)
-    got[single] = covered_tokens(ranks, page[single], q.long)
-    shift = np.repeat(begins[first[same]] - begins[:-1], count)
-    got = got[np.arange(len(h)) + shift]  # copies are covered as their first page is
-    if shared is not None and len(shared):
-        keys, start = window_keys(h, begins, q.long, np.full(len(pages), groups))
-        marks, hit = np.zeros(len(h) + 1, np.int64), start[np.isin(keys, shared)]
-        np.add.at(marks, hit, 1)
-        np.add.at(marks, hit + q.long, -1)
-        got |= np.cumsum(marks[:-1]) > 0
-    cover = np.concatenate([[0], np.cumsum(got)])
+    cover = np.concatenate([[0], np.cumsum(covered_tokens(h, at, begins, hosts, shared, q, bits))])
     size, seen = np.diff(at), cover[at[1:]] - cover[at[:-1]]
-    inside = np.array([k == KEEP for _, kinds in pages for k in kinds], bool)
+    page_of_block = np.repeat(np.arange(len(pages)), [len(t) for t, _ in pages])
+    inside = np.array([k == str(KEEP) for _, kinds in pages for k in kinds], bool)
     rooted, met = (np.bincount(page_of_block[inside], x[inside], len(pages)) for x in (size, seen))
     copy = (met >= q.copied * rooted) & (met > 0)
-    stays = (seen < q.covered * np.maximum(1, size)) | inside & copy[page_of_block]
+    alone = (rooted == 0) & (np.bincount(page_of_block, seen, len(pages)) >= q.whole * np.maximum(1, count))
+    stays = (seen < q.covered * np.maximum(1, size)) | inside & copy[page_of_block] | alone[page_of_block]
     out, b = [], 0
     for texts, _ in pages:
         out.append("\n\n".join(t for i, t in enumerate(texts) if stays[b + i]))
@@ -246,106 +264,103 @@ def select_blocks(pages: list[tuple[list[str], list[int]]], q: PageParams, share
     return out
 
 
-def shared_windows(large: DataFrame, q: PageParams) -> DataFrame:
-    """(host, part, keys): windows on two distinct pages of a host or more, for each group that holds them.
+def shared_suffixes(source: DataFrame, q: PageParams, bits: int) -> DataFrame:
+    """(sign, keys): sampled suffixes on two distinct pages of a host or more, for the pages that hold them.
 
-    large: (html, host, groups).
+    source: (html, host). A page is known by the hash of its tokens.
     """
+    schema = "r long, codes binary, known binary"
 
     def read(batches):
-        held: dict[tuple[str, int], list[np.ndarray]] = {}
-        size = 0
-
-        def out():
-            hosts, ranges, counts, packed = [], [], [], []
-            for (host, groups), parts in held.items():
-                r, codes = np.concatenate(parts, axis=1)
-                order = np.lexsort((codes, r))
-                r, codes = r[order], codes[order]
-                new = np.concatenate([[True], (r[1:] != r[:-1]) | (codes[1:] != codes[:-1])])
-                r, codes = r[new], codes[new]
-                heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                for lo, hi in zip(heads, [*heads[1:], len(r)], strict=True):
-                    hosts.append(host)
-                    ranges.append(int(r[lo]))
-                    counts.append(groups)
-                    packed.append(codes[lo:hi].tobytes())
-            return pa.record_batch([pa.array(hosts, pa.string()), pa.array(ranges, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=["host", "r", "groups", "codes"])
+        held: list[np.ndarray] = []
+        size = turn = 0
+
+        def out(turn):
+            keys, signs = np.concatenate(held, axis=1)
+            order = np.lexsort((signs, keys))
+            keys, signs = keys[order], signs[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (signs[1:] != signs[:-1])])
+            keys, signs = keys[new], signs[new]
+            heads, tails = runs(keys)
+            length = np.repeat(tails - heads, tails - heads)
+            place = np.arange(len(keys)) - np.repeat(heads, tails - heads)
+            send, known = place < 2, length > 1
+            r, codes = (keys >> HASH_BITS)[send], ((keys & LOW) << SIGN_BITS | signs)[send]
+            cuts, ends = runs(r)
+            yield pa.record_batch([pa.array(r[cuts].astype(np.int64)), pa.array([codes[lo:hi].tobytes() for lo, hi in zip(cuts, ends, strict=True)], pa.binary()), pa.array([b""] * len(cuts), pa.binary())], names=["r", "codes", "known"])
+            if known.any():  # needs no matching, so it may go to any range
+                pairs = np.stack([signs[known], keys[known]])
+                to = int(xxhash.xxh3_64_intdigest(pairs.tobytes())) >> (64 - bits) if bits else 0
+                yield pa.record_batch([pa.array([to], pa.int64()), pa.array([b""], pa.binary()), pa.array([pairs.tobytes()], pa.binary())], names=["r", "codes", "known"])
 
         for batch in tk.sized_batches(batches, column="html"):
-            h, _, begins = page_tokens([[t for t, _ in visible(page or "")[0]] for page in batch.column(0).to_pylist()])
-            groups = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            keys, at = window_keys(h, begins, q.long, groups)
-            page = np.searchsorted(begins, at, "right") - 1
-            codes = np.stack([keys >> HASH_BITS, (keys & LOW) << SIGN_BITS | (signatures(h, begins) & SIGN)[page]])
-            hosts = batch.column(1).dictionary_encode()
-            number = hosts.indices.to_numpy(zero_copy_only=False)[page]
-            for k, host in enumerate(hosts.dictionary.to_pylist()):
-                mine = np.flatnonzero(number == k)
-                if len(mine):
-                    held.setdefault((host, int(groups[page[mine[0]]])), []).append(codes[:, mine])
-            size += len(keys)
-            if size > 2_000_000:
-                yield out()
+            h, at, begins = page_tokens([[t for t, _ in visible(page or "")[0]] for page in batch.column(0).to_pylist()])
+            where, w = sampled(h, at, begins, q.long, q.reach)
+            page = np.searchsorted(begins, where, "right") - 1
+            held.append(np.stack([host_keys(w, host_hashes(batch.column(1))[page], bits), (signatures(h, begins) & SIGN)[page]]))
+            size += len(w)
+            if size > 1_000_000:
+                yield from out(turn)
                 held.clear()
-                size = 0
-        if held:
-            yield out()
+                size, turn = 0, turn + 1
+        if size:
+            yield from out(turn)
 
     def meet(table):
         codes = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]))
         w = codes >> SIGN_BITS
         again = w[1:] == w[:-1]
-        codes = codes[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
-        groups, r = table.column("groups")[0].as_py(), np.uint64(table.column("r")[0].as_py())
-        part = ((codes & SIGN) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, keys = part[order], r << HASH_BITS | codes[order] >> SIGN_BITS
-        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        tails = [*heads[1:], len(part)] if len(part) else []
-        packed = [np.unique(keys[lo:hi]).tobytes() for lo, hi in zip(heads, tails, strict=True)]
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(heads), pa.string()), "part": pa.array(part[heads], pa.int64()), "keys": pa.array(packed, pa.binary())})
+        codes = codes[np.concatenate([[False], again]) | np.concatenate([again, [False]])] if len(codes) else codes
+        known = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("known").to_pylist())], axis=1)
+        r = np.uint64(table.column("r")[0].as_py())
+        return pa.Table.from_batches([by_sign(np.concatenate([codes & SIGN, known[0]]), np.concatenate([r << HASH_BITS | codes >> SIGN_BITS, known[1]]))])
+
+    rows = source.select("html", "host").mapInArrow(read, schema).groupBy("r").applyInArrow(meet, "sign long, keys binary")
+    return rows.groupBy("sign").agg(F.collect_set("keys").alias("keys"))
+
 
-    rows = large.select("html", "host", "groups").mapInArrow(read, "host string, r long, groups long, codes binary")
-    return rows.groupBy("host", "r").applyInArrow(meet, "host string, part long, keys binary")
+def host_hashes(hosts: pa.Array) -> np.ndarray:
+    names = hosts.dictionary_encode()
+    table = np.array([xxhash.xxh3_64_intdigest(x) for x in names.dictionary.to_pylist()] or [0], np.uint64)
+    return table[names.indices.to_numpy(zero_copy_only=False)]
 
 
 def extract(pages: DataFrame, q: PageParams = PageParams()) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    schema = "page_id long, url string, host string, sign long, texts array<string>, kinds array<int>"
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    bits = min(28, max(0, -(-total // q.range_bytes) - 1).bit_length())
 
     def read(batches):
+        press = zstandard.ZstdCompressor(level=3)
         for batch in tk.sized_batches(batches, column="html"):
             texts, kinds = [], []
             for page in batch.column(2).to_pylist():
                 got, _ = visible(page or "")
                 texts.append([t for t, _ in got])
-                kinds.append([k for _, k in got])
+                kinds.append("".join(str(k) for _, k in got))
             h, _, begins = page_tokens(texts)
-            signs = (signatures(h, begins) & SIGN).astype(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(signs), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], names=["page_id", "url", "host", "sign", "texts", "kinds"])
-
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    # groups are sized by the bytes of html, which need no parse; parsed text is a fraction of them
-    weight = source.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > q.group_bytes)
-    weight = weight.select("host", F.ceil(F.col("bytes") / q.group_bytes).alias("groups"))
-    weight = Scratch(pages.sparkSession, "pages").keep(weight, "hosts")  # only hosts of more than one group
-    large = weight.count()
-    few = F.broadcast(weight) if large <= q.small_side else weight
-    parsed = source.mapInArrow(read, schema).join(few, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
-    parsed = parsed.withColumn("part", F.col("sign") % F.col("groups")).drop("sign")
-
-    def solve(table, shared=None):
-        got = []
-        if table.num_rows:
-            keys = [np.frombuffer(x, np.uint64) for x in shared.column("keys").to_pylist()] if shared is not None else []
-            got = select_blocks(list(zip(table.column("texts").to_pylist(), table.column("kinds").to_pylist(), strict=True)), q, np.concatenate(keys) if keys else None, table.column("groups")[0].as_py())
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(got, pa.string()), "n_chars": pa.array([len(t) for t in got], pa.int64())})
-
-    out = "page_id long, url string, text string, n_chars long"
-    groups = parsed.groupBy("host", "part")
-    if not large:
-        return groups.applyInArrow(lambda table: solve(table), out)  # two arguments would be key and table
-    shared = shared_windows(source.join(few, "host"), q)
-    return groups.cogroup(shared.groupBy("host", "part")).applyInArrow(solve, out)
+            # blocks hold no line break, so one parts them
+            packed = [press.compress("\n".join(t).encode("utf-8", "replace")) for t in texts]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(host_hashes(batch.column(3)).view(np.int64)), pa.array((signatures(h, begins) & SIGN).astype(np.int64)), pa.array(packed, pa.binary()), pa.array(kinds, pa.string())], names=["page_id", "url", "host", "sign", "blocks", "kinds"])
+
+    def solve(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = batch.to_pydict()
+            lo = size = 0
+            for r in range(batch.num_rows):
+                size += len(rows["blocks"][r]) + sum(map(len, rows["keys"][r] or ()))
+                if size >= 1 << 20 or r + 1 == batch.num_rows:
+                    some = range(lo, r + 1)
+                    held = [(unpack.decompress(rows["blocks"][i]).decode().split("\n") if rows["kinds"][i] else [], rows["kinds"][i]) for i in some]
+                    shared = [np.frombuffer(b"".join(rows["keys"][i] or ()), np.uint64) for i in some]
+                    got = select_blocks(held, np.array([rows["host"][i] for i in some], np.int64).view(np.uint64), shared, q, bits)
+                    yield pa.record_batch([pa.array(rows["page_id"][lo : r + 1], pa.int64()), pa.array(rows["url"][lo : r + 1], pa.string()), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                    lo, size = r + 1, 0
+        tk.hand_back()
+
+    parsed = source.mapInArrow(read, "page_id long, url string, host long, sign long, blocks binary, kinds string")
+    joined = parsed.join(shared_suffixes(source, q, bits).hint("merge"), "sign", "left")
+    return joined.select("page_id", "url", "host", "blocks", "kinds", "keys").mapInArrow(solve, "page_id long, url string, text string, n_chars long")
