@@ -55,3 +55,44 @@ def test_the_tail_is_judged_like_the_front():
     for raw in (prose + noise, noise + prose):
         assert bands.verdict(raw, q, press)[1:] == (1, 2, False)
     assert bands.verdict(prose * 2, q, press)[2] == 2 and bands.verdict(prose[:-1], q, press)[2] == 0
+
+
+def prose_of(rng, size):
+    """Letters with the uneven frequencies of prose, in words that recur as in prose."""
+    words = ["".join(rng.choice("eeeeetttaaaooiinnsshhrrddlcumwfgypbvk") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
+    return " ".join(rng.choice(words) for _ in range(size))
+
+
+def test_bands_reject_what_the_base_passes(spark):
+    rng = random.Random(12)
+    marked = lambda n: " ".join(w + rng.choice(["-again", "+again"]) for w in prose_of(rng, n).split())
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(9)) for _ in range(n))
+    good = [prose_of(rng, n) for n in (60, 200, 900, 4000)]
+    bad = [marked(200), marked(3000), noise(80), noise(2000)]
+    half = prose_of(rng, 1500) + " " + noise(280)  # whole ratio inside the band, chunks outside
+    rows_ = [(i, t) for i, t in enumerate([*good, *bad, half])]
+    by = {r.doc_id: r for r in bands.compression_rules(doc_frame(spark, rows_)).collect()}
+    assert not any(r.base_failed for r in by.values())
+    assert [by[i].kept for i in range(len(rows_))] == [True] * len(good) + [False] * (len(bad) + 1)
+    size = len(half.encode())
+    low, high = bands.band(bands.Bands().whole, size)
+    assert low <= by[len(rows_) - 1].ratio <= high and by[len(rows_) - 1].bad_chunks > 0.2 * by[len(rows_) - 1].n_chunks
+    off = bands.Bands(whole=((0, 0.0, 1e9),), chunks=((0, 0.0, 1e9),))
+    assert all(r.kept for r in bands.compression_rules(doc_frame(spark, rows_), off).collect())
+
+
+def test_kept_on_labelled_documents():
+    """Held against labels that the limits' own classes were read from: bands decide beyond the base, and spare good texts."""
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.01"
+    docs = pq.read_table(f"{d}/documents.parquet").to_pylist()
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
+    q, press = bands.Bands(), zstandard.ZstdCompressor(level=3)
+    seen = {0: [0, 0], 1: [0, 0]}
+    for r in docs:
+        n, _, _, _, repeat = brute(r["text"]) if len(r["text"] or "") < 3000 else (0, 0, 0, 0, 0)
+        if r["doc_id"] in labels and n >= 50 and 100 * repeat <= 50 * n:
+            ok = bands.verdict(r["text"].encode(), q, press)[3]
+            seen[labels[r["doc_id"]]][ok] += 1
+    assert seen[0][0] >= 0.25 * sum(seen[0]) > 0 and seen[1][0] <= 0.01 * sum(seen[1]), seen
