@@ -1,17 +1,22 @@
 """Exact top-k search on an impact-ordered index, score at a time.
 
-Components are integers floor(scale * x). A posting (dimension, vector, component) has the
-quantised impact level of its magnitude. The index holds, for each block of vectors, the
-postings of every level as one segment per level, highest first, and what the levels below
-can still add to each vector: the length of what is left of it. A block of queries adds
-segments to its accumulators by falling level. After each segment, a vector may still be a
-member if accumulator + length of the query * length left reaches the query's k-th best
-lower bound; when at most ``rescore`` candidates a query are left - or when no segment is -
-processing stops, since the bound proves that no other vector can enter, and the candidates
-are scored exactly over whole vectors.
-
-Both sides are cut into blocks of bounded size, and blocks meet by an equi-join on block
-numbers; each meeting leaves at most k rows a query, merged by rank.
+Components are integers floor(scale * x). The index of a block of vectors holds a posting
+(dimension, vector, component) for each component that is not zero, in segments of equal
+dimension and impact, the component's magnitude quantised to ``levels`` steps that hold
+about as many postings each; segments lie by falling impact. For
+every vector it also holds the length of what segments below each impact can still add.
+
+A query adds segments to its accumulators by falling impact. After each impact, a vector's
+score exceeds its sum so far by no more than the length of its unread components times the
+length of the query's components at these places. The k vectors with the greatest sums are
+scored exactly, and with them the k-th best score from blocks before: the best of these is a
+floor, and a vector may be a member only if its upper bound reaches it. The rest of the segments is left unread when
+scoring the possible members exactly costs less than reading on, which the bounds make
+safe at any point; the possible members are then scored exactly over whole vectors. Blocks
+whose greatest components cannot reach the k-th best score so far are not opened at all.
+
+Query blocks and index blocks are dealt to groups by hash, a few index blocks to each, and
+every query group meets every index group; each meeting leaves at most k rows a query, merged by rank.
 
 Defined cases: vectors null or holding null, NaN or infinite components take no part, as
 queries or candidates; shorter vectors count as ending in zeros; an empty vector scores 0
@@ -38,10 +43,11 @@ RESULT = "query_id long, vec_id long, score long"
 class TopkParams:
     k: int = 5
     scale: int = 256
-    block: int = 4096  # vectors in a block of candidates
-    queries: int = 1024  # vectors in a block of queries
-    levels: int = 4
-    rescore: int = 64
+    block: int = 4096  # vectors in a block of the index
+    queries: int = 512  # vectors in a block of queries
+    levels: int = 8  # impacts
+    lane: int = 8  # blocks of the index in one group, about
+    rescore_cost: float = 4.0  # of one component of a candidate, fetched and scored, in postings read
 
 
 def usable(vectors: DataFrame, scale: int) -> DataFrame:
@@ -84,39 +90,51 @@ class Segments:
     """The impact-ordered postings of one block of vectors."""
 
     def __init__(self, m: np.ndarray, levels: int) -> None:
-        self.whole = m
-        size = np.abs(m)
-        top = float(size.max(initial=0))
-        cuts = [top / 2**k for k in range(1, levels)]
-        level = np.zeros(m.shape, np.int64)
-        for c in cuts:
-            level += size <= c
-        self.parts, self.left = [], []
-        for k in range(levels):
-            self.parts.append(np.where(level == k, m, 0).astype(np.float64))
-            rest = np.where(level > k, m, 0).astype(np.float64)
-            self.left.append(np.sqrt((rest**2).sum(1)))
-
-    def search(self, q: np.ndarray, k: int, rescore: int) -> tuple[list[np.ndarray], int]:
-        """For each query the places that may be members, and the segments that were read."""
-        n = len(self.whole)
-        k = min(k, n)
+        self.whole, self.levels = m, levels
+        n, width = m.shape
+        size = np.abs(m).astype(np.float64)
+        some = size[size > 0]
+        steps = np.quantile(some, np.arange(1, levels) / levels) if len(some) else np.zeros(levels - 1)
+        impact = np.searchsorted(steps, size, "right")
+        self.low, self.high = (f(axis=0, initial=0) if n else np.zeros(width, np.int64) for f in (m.min, m.max))
+        order = np.argsort((levels - 1 - impact) * width + np.arange(width), axis=None, kind="stable")
+        order = order[m.ravel()[order] != 0]
+        self.place, self.dim = order // max(1, width), order % max(1, width)
+        self.value = m.ravel()[order].astype(np.float64)
+        level = levels - 1 - impact.ravel()[order]
+        self.cuts = np.searchsorted(level, np.arange(levels + 1))  # postings before each impact
+        squares = size**2
+        self.length = np.sqrt(squares.sum(1))
+        self.left = [np.sqrt((squares * (impact < levels - 1 - k)).sum(1)) for k in range(levels)]
+
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """What the greatest components could add up to, for each query."""
         wide = q.astype(np.float64)
-        length = np.sqrt((wide**2).sum(1))[:, None]
-        sums = np.zeros((len(q), n))
-        may = np.ones((len(q), n), bool)
-        for read, (part, left) in enumerate(zip(self.parts, self.left, strict=True), 1):
-            sums += wide @ part.T
-            slack = length * left[None, :] * (1 + 1e-12) + 1e-6
-            floor = np.partition(sums - slack, n - k, axis=1)[:, n - k]
-            may = sums + slack >= floor[:, None]
-            if may.sum(1).max(initial=0) <= rescore:
-                break
-        return [np.flatnonzero(row) for row in may], read
+        return np.maximum(wide, 0) @ self.high.astype(np.float64) + np.minimum(wide, 0) @ self.low.astype(np.float64)
 
-
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: float, rescore_cost: float) -> tuple[np.ndarray, int]:
+        """Places that may be among the k best and reach ``floor``, and the postings read. own: places that take no part."""
+        n, width = self.whole.shape
+        wide = q.astype(np.float64)
+        square = wide**2
+        length, unread = float(np.sqrt(square.sum())), np.full(n, square.sum())
+        sums = np.zeros(n)
+        sums[own] = -np.inf
+        k, total, may = min(k, n), len(self.place), np.ones(n, bool)
+        for level in range(self.levels):
+            lo, hi = self.cuts[level], self.cuts[level + 1]
+            if lo < hi:
+                place, dim = self.place[lo:hi], self.dim[lo:hi]
+                sums += np.bincount(place, weights=wide[dim] * self.value[lo:hi], minlength=n)
+                unread -= np.bincount(place, weights=square[dim], minlength=n)
+            slack = np.sqrt(np.maximum(unread, 0)) * self.left[level] + 1e-9 * length * self.length + 1e-6
+            first = np.argpartition(sums, n - k)[n - k :]  # scored exactly, they set a floor
+            scores = np.where(sums[first] > -np.inf, exact_products(self.whole[first], q).astype(np.float64), -np.inf)
+            floor = max(floor, float(scores.min()) * (1 - 1e-12 * np.sign(scores.min())) if scores.min() > -np.inf else -np.inf)
+            may = (sums + slack >= floor) & (sums > -np.inf)
+            if may.sum() * width * rescore_cost <= total - hi:
+                return np.flatnonzero(may), int(hi)
+        return np.flatnonzero(may), total
 
 
 def exact_products(whole: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -126,29 +144,39 @@ def exact_products(whole: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def meet(p: TopkParams):
-    """Scores each (query block, vector block) row of a batch; at most k rows a query."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
-                m = np.frombuffer(row["data"], np.int64).reshape(len(ids), row["width"])
-                q = np.frombuffer(row["qdata"], np.int64).reshape(len(qids), row["qwidth"])
-                width = max(row["width"], row["qwidth"])
-                m, q = np.pad(m, ((0, 0), (0, width - m.shape[1]))), np.pad(q, ((0, 0), (0, width - q.shape[1])))
-                # one more than k: the query itself may be among them; rows of one id are told apart below
-                twins = int(np.unique(ids, return_counts=True)[1].max())
-                segments = Segments(m, p.levels)
-                places, _ = segments.search(q, p.k + twins, p.rescore)
-                out_q, out_v, out_s = [], [], []
-                for i, at in enumerate(places):
-                    at = at[ids[at] != qids[i]]
-                    s = exact_products(m[at], q[i])
-                    pick = best(s, ids[at], p.k)
-                    out_q += [int(qids[i])] * len(pick)
-                    out_v += ids[at][pick].tolist()
-                    out_s += [int(x) for x in s[pick]]
-                yield pa.record_batch([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], names=["query_id", "vec_id", "score"])
+    """Scores the query blocks of a group against its index blocks; at most k rows a query."""
+
+    def matrix(data: bytes, rows: int, width: int, to: int) -> np.ndarray:
+        m = np.frombuffer(data, np.int64).reshape(rows, width)
+        return np.pad(m, ((0, 0), (0, to - width)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        width = max([0, *left.column("qwidth").to_pylist(), *right.column("width").to_pylist()])
+        index = []
+        for ids, w, data in zip(*(right.column(c).to_pylist() for c in ("ids", "width", "data")), strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            index.append((ids, Segments(matrix(data, len(ids), w, width), p.levels)))
+        out: list[list] = [[], [], []]
+        for qids, w, data in zip(*(left.column(c).to_pylist() for c in ("qids", "qwidth", "qdata")), strict=True) if len(index) else ():
+            qids = np.frombuffer(qids, np.int64)
+            q = matrix(data, len(qids), w, width)
+            reach = np.stack([seg.reach(q) for _, seg in index])
+            for i, own in enumerate(qids.tolist()):
+                found_s: list[int] = []
+                found_v: list[int] = []
+                for b in np.argsort(-reach[:, i], kind="stable"):
+                    ids, seg = index[b]
+                    floor = float(found_s[-1]) if len(found_s) == p.k else -np.inf
+                    if reach[b, i] + 1e-9 * abs(reach[b, i]) + 1e-6 < floor:
+                        break  # nor can any block after it
+                    at, _ = seg.search(q[i], np.flatnonzero(ids == own), p.k, floor, p.rescore_cost)
+                    s, v = [*found_s, *exact_products(seg.whole[at], q[i]).tolist()], [*found_v, *ids[at].tolist()]
+                    pick = sorted(range(len(s)), key=lambda x, s=s, v=v: (-s[x], v[x]))[: p.k]
+                    found_s, found_v = [s[x] for x in pick], [v[x] for x in pick]
+                out[0] += [own] * len(found_s)
+                out[1] += found_v
+                out[2] += found_s
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     return run
 
@@ -156,14 +184,15 @@ def meet(p: TopkParams):
 def top_k(vectors: DataFrame, queries: DataFrame, p: TopkParams = TopkParams()) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all vectors but its own. Both have vec_id, embedding."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    number = F.row_number().over(Window.orderBy(F.xxhash64("ids"), "ids")) - 1  # over blocks, not rows
     packed = scratch.keep(blocks(usable(vectors, p.scale), p.block), "blocks")
     asked = scratch.keep(blocks(usable(queries, p.scale), p.queries).toDF("qids", "qwidth", "qdata"), "queries")
-    names = scratch.keep(packed.select("ids").distinct().select("ids", number.cast("long").alias("n")), "names")
-    count = names.count()
-    if not count:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pairs = asked.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).repartition("n", F.xxhash64("qids"))
-    met = pairs.join(packed.join(names, "ids"), "n").select("ids", "width", "data", "qids", "qwidth", "qdata").mapInArrow(meet(p), RESULT)
+    lanes, groups = max(1, -(-packed.count() // p.lane)), max(1, asked.count())
+
+    def every(n: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = asked.withColumn("a", F.pmod(F.xxhash64("qids"), F.lit(groups)).cast("int")).withColumn("b", every(lanes))
+    right = packed.withColumn("b", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).withColumn("a", every(groups))
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet(p), RESULT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

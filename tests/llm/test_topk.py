@@ -30,7 +30,7 @@ def rows(n=700, dim=16, seed=1):
     return out
 
 
-@pytest.mark.parametrize("p", [topk.TopkParams(), topk.TopkParams(block=60, queries=4, levels=6, rescore=3)])
+@pytest.mark.parametrize("p", [topk.TopkParams(), topk.TopkParams(block=60, queries=4, levels=6, lane=2), topk.TopkParams(block=50, levels=16, rescore_cost=0.01), topk.TopkParams(block=90, levels=1, rescore_cost=1e9)])
 def test_equal_to_brute_force(spark, p):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
@@ -53,8 +53,36 @@ def test_stops_on_proof():
     m = np.zeros((500, 40), np.int64)
     m[np.arange(500), rng.integers(0, 40, 500)] = rng.integers(100, 256, 500)
     m += rng.integers(-2, 3, m.shape)
-    places, read = topk.Segments(m, 4).search(m[:5], 3, 40)
-    exact = m[:5] @ m.T
-    assert read < 4
-    for i, at in enumerate(places):
-        assert set(np.argsort(-exact[i], kind="stable")[:3]) <= set(at)
+    seg = topk.Segments(m, 8)
+    exact = m[:50] @ m.T
+    for i in range(50):
+        at, read = seg.search(m[i], np.array([i]), 3, -np.inf, 4.0)
+        assert read < 0.6 * len(seg.place) and len(at) < 100 and i not in at
+        others = np.delete(np.arange(500), i)
+        assert set(others[np.argsort(-exact[i, others], kind="stable")[:3]]) <= set(at)
+        none, first = seg.search(m[i], np.array([i]), 3, 1e9, 4.0)
+        assert not len(none) and first < len(seg.place)  # a floor from other blocks closes this one
+
+
+def test_segments_hold_every_posting_by_falling_impact():
+    rng = np.random.default_rng(4)
+    m = rng.integers(-30, 31, (60, 9)) * (rng.random((60, 9)) < 0.5)
+    seg = topk.Segments(m, 5)
+    back = np.zeros_like(m)
+    back[seg.place, seg.dim] = seg.value
+    assert (back == m).all() and len(seg.place) == (m != 0).sum()
+    tops = [np.abs(seg.value[lo:hi]) for lo, hi in zip(seg.cuts[:-1], seg.cuts[1:], strict=True)]
+    tops = [t for t in tops if len(t)]
+    assert all(a.min() >= b.max() for a, b in zip(tops, tops[1:], strict=False))
+    assert (seg.reach(m[:5])[:, None] >= m[:5] @ m.T).all()
+    assert np.allclose(seg.left[-1], 0)
+
+
+def test_registered_vectors_stop_before_the_end():
+    import pyarrow.parquet as pq
+
+    v = np.floor(256 * np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), np.float64)).astype(np.int64)
+    seg = topk.Segments(v, topk.TopkParams().levels)
+    read = [seg.search(v[i], np.array([i]), 5, -np.inf, topk.TopkParams().rescore_cost)[1] for i in range(0, len(v), 50)]
+    assert max(read) < len(seg.place) and np.mean(read) < 0.8 * len(seg.place)
+    print(np.mean(read) / len(seg.place))
