@@ -5,18 +5,21 @@ and text) is rendered once, as the prompt; each side's other turns are its compl
 a mask of one character per character of the completion: 1 where an assistant's text
 or its end mark stands, 0 elsewhere.
 
-``pair_up`` pairs all conversations of equal first turn, two by two by conv_id. They are
-numbered exactly without a window over a whole group: rows are numbered within spans of
-ids, and counts are added up over spans, spans of spans and so on, so no window holds more
-than ``ID_SPAN`` rows, however the ids are spread. The last of an odd number is paired
-with itself without its last turn.
-
-The SQL below pairs within one span of ids; on tables whose ids lie in several spans it
-leaves over one conversation a span and first turn that is paired here.
+``pair_up`` pairs all conversations of equal first turn, two by two by the digest of
+conv_id: these are two conversations of one prompt. Of a first turn with an odd number of conversations the
+last one is left; those are paired two by two by digest with each other: the rejected
+side is the chosen one with its last turn replaced by the last turn of the other, a reply to
+another prompt, and the other way round, so each is the chosen one once. A last one
+of all that has no partner is listed with rejected_id null and an empty rejected side.
+
+Conversations are numbered exactly without a window over a whole group: rows are numbered
+within ranges of the digest (24 bits), and counts are added up over these and over ranges of
+12 bits, so a group that holds a third of all rows is spread over all ranges, and no window holds more than
+4,096 counts or the rows of one range.
 
 Defined cases: turns are ordered by turn, null first, then role and text; a null role is
 rendered as an empty role and a null text as empty, and null equals null in comparisons;
-rows with a null conversation id form one conversation, which is left over; repeated rows are turns like
+rows without a conversation id take no part, as they name no conversation; repeated rows are turns like
 others; equal conversations have empty completions; extra columns are ignored; an empty
 table gives an empty result. Turns and texts are whole, however long.
 """
@@ -26,8 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_SPAN = 65_536
-SPAN_BITS = 16
+FINE, WIDE = 6, 3  # hex digits of the digest that name a range, and a range of ranges
 TURNS = "array_sort(collect_list(named_struct('turn', turn, 'role', role, 'text', text)))"
 
 
@@ -71,35 +73,42 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_
 
 
 def numbered(keys: DataFrame) -> DataFrame:
-    """conv_id, g and i: the place of each id among those of its group, from 0. keys: (conv_id, g), distinct ids."""
-    spans = [f"shiftright(conv_id, {k * SPAN_BITS})" for k in (1, 2, 3)]
-    rows = keys.selectExpr("conv_id", "g", *[f"{x} s{k}" for k, x in enumerate(spans, 1)])
-    inside = Window.partitionBy("g", "s1").orderBy("conv_id")
-    rows = rows.select("*", (F.row_number().over(inside).cast("long") - 1).alias("nth"))
-    counts = [rows.groupBy("g", "s1", "s2", "s3").agg(F.count("*").alias("n"))]
-    counts.append(counts[0].groupBy("g", "s2", "s3").agg(F.sum("n").alias("n")))
-    counts.append(counts[1].groupBy("g", "s3").agg(F.sum("n").alias("n")))
-    before = None
-    for k in (3, 2, 1):  # from the widest spans down: rows before each span
-        within = Window.partitionBy("g", *[f"s{k + 1}"] * (k < 3)).orderBy(f"s{k}").rowsBetween(Window.unboundedPreceding, -1)
-        here = counts[k - 1].select("g", *[f"s{j}" for j in range(k, 4)], F.coalesce(F.sum("n").over(within), F.lit(0)).alias("b"))
-        if before is not None:
-            here = here.join(before.select("g", f"s{k + 1}", F.col("b").alias("wide")), ["g", f"s{k + 1}"]).withColumn("b", F.col("b") + F.col("wide")).drop("wide")
-        before = here
-    return rows.join(before.select("g", "s1", "b"), ["g", "s1"]).selectExpr("conv_id", "g", "b + nth i")
+    """conv_id, g, i and n: each id's place among those of its group, by digest, from 0, and the group's size. keys: (conv_id, g), distinct ids."""
+    rows = keys.select("conv_id", "g", F.md5(F.col("conv_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.select("*", F.substring("h", 1, WIDE).alias("wide"), F.substring("h", 1, FINE).alias("fine"))
+    nth = F.row_number().over(Window.partitionBy("g", "fine").orderBy("h", "conv_id")).cast("long") - 1
+    rows = rows.select("conv_id", "g", "wide", "fine", nth.alias("nth"))
+    fine = rows.groupBy("g", "wide", "fine").agg(F.count("*").alias("c"))
+    wide = fine.groupBy("g", "wide").agg(F.sum("c").alias("c"))
+
+    def before(*group, order):
+        return F.coalesce(F.sum("c").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    whole = F.sum("c").over(Window.partitionBy("g"))
+    wide = wide.select("g", "wide", before("g", order="wide").alias("wb"), whole.alias("n"))
+    fine = fine.select("g", "wide", "fine", before("g", "wide", order="fine").alias("fb")).join(wide, ["g", "wide"])
+    return rows.join(fine.select("g", "fine", "wb", "fb", "n"), ["g", "fine"]).selectExpr("conv_id", "g", "wb + fb + nth i", "n")
 
 
 def pair_up(conversations: DataFrame) -> DataFrame:
-    """chosen_id, rejected_id (null: the conversation without its last turn), c and r."""
-    turns = conversations.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    """chosen_id, rejected_id, c and r: both sides' turns; rejected_id is null where no partner is left."""
+    turns = conversations.where("conv_id is not null").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     whole = conversations_of(turns, "conv_id")
-    first = whole.selectExpr("conv_id", "turns[0].role r0", "turns[0].text t0")
-    first = first.selectExpr("conv_id", "sha2(concat(coalesce(concat('=', r0), ''), '\\n', coalesce(concat('=', t0), '')), 256) g")
-    paired = whole.join(numbered(first.where("conv_id is not null")), "conv_id").selectExpr("g", "i div 2 pair", "struct(conv_id, turns) x")
-    two = paired.groupBy("g", "pair").agg(F.sort_array(F.collect_list("x")).alias("two"))
-    sides = two.selectExpr("two[0].conv_id chosen_id", "two[0].turns c", "try_element_at(two, 2).conv_id rejected_id", "try_element_at(two, 2).turns next_turns")
-    sides = sides.unionByName(whole.where("conv_id is null").selectExpr("conv_id chosen_id", "turns c", "cast(null as long) rejected_id", "cast(null as array<struct<turn:bigint,role:string,text:string>>) next_turns"))
-    return sides.selectExpr("chosen_id", "rejected_id", "c", "coalesce(next_turns, slice(c, 1, greatest(0, size(c) - 1))) r")
+    first = whole.selectExpr("conv_id", "sha2(concat(coalesce(concat('=', turns[0].role), ''), '\\n', coalesce(concat('=', turns[0].text), '')), 256) g")
+    places = numbered(first).selectExpr("conv_id", "g", "i div 2 pair", "i = n - 1 and i % 2 = 0 odd")
+    rest = numbered(places.where("odd").selectExpr("conv_id", "'' g")).selectExpr("conv_id", "g", "i div 2 pair", "true odd")
+    places = places.where("not odd").unionByName(rest)
+    paired = whole.join(places, "conv_id").selectExpr("g", "pair", "odd", "struct(md5(cast(cast(conv_id as string) as binary)) h, conv_id, turns) x")
+    two = paired.groupBy("g", "pair", "odd").agg(F.sort_array(F.collect_list("x")).alias("two"))
+    two = two.selectExpr("odd", "two[0].conv_id a", "two[0].turns ta", "try_element_at(two, 2).conv_id b", "try_element_at(two, 2).turns tb")
+    other = "concat(slice({x}, 1, size({x}) - 1), slice({y}, size({y}), 1))"
+    one, back = other.format(x="ta", y="tb"), other.format(x="tb", y="ta")
+
+    def row(*values: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in zip(("chosen_id", "rejected_id", "c", "r"), values, strict=True)) + ")"
+
+    sides = f"case when not odd then array({row('a', 'b', 'ta', 'tb')}) when b is null then array({row('a', 'b', 'ta', 'slice(ta, 1, 0)')}) else array({row('a', 'b', 'ta', one)}, {row('b', 'a', 'tb', back)}) end"
+    return two.selectExpr(f"inline({sides})")
 
 
 def preferences(conversations: DataFrame) -> DataFrame:
@@ -117,12 +126,17 @@ def oracle_sql() -> str:
     def mask(t):
         return f"coalesce(array_to_string(list_transform({t}, lambda x: repeat('0', length({head})) || repeat(CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END, length({body}))), ''), '')"
 
+    swap = "list_concat({x}[1:len({x}) - 1], {y}[len({y}):])"
     return f"""
-WITH v AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) t FROM conversations GROUP BY conv_id),
-o AS (SELECT *, row_number() OVER g i, lead(conv_id) OVER g nid, lead(t) OVER g nt FROM v
-  WINDOW g AS (PARTITION BY t[1], conv_id // {ID_SPAN} ORDER BY conv_id NULLS FIRST)),
-p AS (SELECT conv_id chosen_id, nid rejected_id, t c, coalesce(nt, t[1:len(t) - 1]) r FROM o WHERE i % 2 = 1),
-n AS (SELECT *, coalesce((SELECT min(j) - 1 FROM range(1, 1 + least(len(c), len(r))) q(j) WHERE c[j] IS DISTINCT FROM r[j]), least(len(c), len(r))) n FROM p)
+WITH v AS (SELECT conv_id, md5(cast(conv_id AS VARCHAR)) h, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+o AS (SELECT *, row_number() OVER g i, count(*) OVER (PARTITION BY t[1].role, t[1].text) n, lead(conv_id) OVER g nid, lead(t) OVER g nt FROM v
+  WINDOW g AS (PARTITION BY t[1].role, t[1].text ORDER BY h, conv_id)),
+l AS (SELECT conv_id, t, row_number() OVER w i, lead(conv_id) OVER w nid, lead(t) OVER w nt FROM o WHERE i = n AND n % 2 = 1 WINDOW w AS (ORDER BY h, conv_id)),
+p AS (SELECT conv_id chosen_id, nid rejected_id, t c, nt r FROM o WHERE i % 2 = 1 AND i < n
+  UNION ALL SELECT conv_id, nid, t, CASE WHEN nid IS NULL THEN t[1:0] ELSE {swap.format(x='t', y='nt')} END FROM l WHERE i % 2 = 1
+  UNION ALL SELECT nid, conv_id, nt, {swap.format(x='nt', y='t')} FROM l WHERE i % 2 = 1 AND nid IS NOT NULL),
+n AS (SELECT *, coalesce((SELECT min(j) - 1 FROM range(1, 1 + least(len(c), len(r))) q(j) WHERE c[j].role IS DISTINCT FROM r[j].role OR c[j].text IS DISTINCT FROM r[j].text), least(len(c), len(r))) n FROM p)
 SELECT chosen_id, rejected_id, cast(n AS BIGINT) prompt_turns, {render('c[1:n]')} AS prompt, {render('c[n + 1:]')} AS chosen, {mask('c[n + 1:]')} AS chosen_mask,
   {render('r[n + 1:]')} AS rejected, {mask('r[n + 1:]')} AS rejected_mask FROM n
 """

@@ -1,5 +1,6 @@
 """Mixing and preference formatting against plain Python."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -91,34 +92,52 @@ def conversations():
     return rows
 
 
+def digest(c):
+    return hashlib.md5(str(c).encode()).hexdigest(), c
+
+
+def pairs_of(by):
+    """(chosen id, rejected id, chosen turns, rejected turns), by the definition."""
+    groups, rest, out = defaultdict(list), [], []
+    for c in sorted(by, key=digest):
+        groups[by[c][0]].append(c)
+    for ids in groups.values():
+        out += [(ids[k], ids[k + 1], by[ids[k]], by[ids[k + 1]]) for k in range(0, len(ids) - 1, 2)]
+        rest += ids[-1:] if len(ids) % 2 else []
+    rest.sort(key=digest)
+    for k in range(0, len(rest) - 1, 2):
+        a, b = rest[k], rest[k + 1]
+        out += [(a, b, by[a], by[a][:-1] + by[b][-1:]), (b, a, by[b], by[b][:-1] + by[a][-1:])]
+    return out + [(c, None, by[c], []) for c in rest[len(rest) // 2 * 2 :]]
+
+
 def test_preferences_equal_brute_force(spark):
     rows = conversations()
-    by = turns_of(rows)
-    groups = defaultdict(list)
-    for c in sorted(by, key=lambda c: -1 if c is None else c):
-        groups[by[c][0], None if c is None else c // preference.ID_SPAN].append(c)
-    want = []
-    for ids in groups.values():
-        for k in range(0, len(ids), 2):
-            c, r = ids[k], ids[k + 1] if k + 1 < len(ids) else None
-            alone = k + 1 == len(ids)
-            want.append((c, r, *formatted(by[c], by[c][:-1] if alone else by[r])))
+    by = turns_of([r for r in rows if r[0] is not None])
+    want = [(c, r, *formatted(x, y)) for c, r, x, y in pairs_of(by)]
     got = preference.preferences(spark.createDataFrame(rows, TURNS).repartition(4)).collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    assert any(r.prompt_turns == 1 for r in got) and any(r.prompt_turns > 1 for r in got)
 
 
-def test_pairs_reach_across_spans_of_ids(spark):
+def test_pairs_reach_across_all_ids(spark):
     rng = random.Random(8)
-    ids = [rng.randrange(-(2**63), 2**63) for _ in range(150)] + [k * preference.ID_SPAN + rng.randrange(3) for k in range(-20, 40)] + list(range(300, 320))
-    ids = sorted(set(ids))
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(150)} | {k * 65_536 + rng.randrange(3) for k in range(-20, 40)} | set(range(300, 321)))
     rows = [(c, t, "user", f"first{c % 3}" if t == 0 else f"turn{c}", "x") for c in ids for t in range(2)]
     got = preference.preferences(spark.createDataFrame(rows, TURNS).repartition(4)).collect()
-    want = set()
-    for k in range(3):
-        group = [c for c in ids if c % 3 == k]
-        want |= {(group[i], group[i + 1] if i + 1 < len(group) else None) for i in range(0, len(group), 2)}
+    want = {(c, r) for c, r, *_ in pairs_of(turns_of(rows))}
     assert len(got) == len(want) and {(r.chosen_id, r.rejected_id) for r in got} == want
-    assert all(r.prompt_turns == 1 for r in got)
+    assert all(r.prompt_turns == 1 for r in got if r.rejected_id is not None)
+
+
+def test_registered_pairs_are_two_conversations(spark):
+    got = preference.preferences(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")).collect()
+    ids = sorted(r.chosen_id for r in got)
+    assert sum(r.rejected_id is None for r in got) <= 1 and len(set(ids)) == len(ids)
+    for r in got:
+        if r.rejected_id is not None:
+            assert r.chosen and r.rejected and r.chosen != r.rejected and r.rejected_id != r.chosen_id
+            assert len(r.chosen) == len(r.chosen_mask) and len(r.rejected) == len(r.rejected_mask)
 
 
 def test_format_of_two_tables(spark):
