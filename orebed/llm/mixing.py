@@ -12,11 +12,13 @@ documents of sources that it lacks, or whose weight is null, zero or negative, a
 
 Documents are numbered without a window over a whole source: blocks of ids are counted,
 their counts added up, and rows numbered inside blocks of ids. The schedule has one row a
-slot, and the number of slots is bounded by max(period, sources) + sources, so it is broadcast.
+source and max(period, sources) + sources slots at most in all; it is broadcast when the sources were
+counted and are few. The fold takes slots times sources steps in one task, so sources should be
+names of collections, thousands rather than millions.
 
 Defined cases: a null source is a source of its own; a null doc_id comes first in its
-source; rows of equal doc_id follow by the hash of the row; null texts are documents like
-others; extra columns are kept by ``mixed`` and ignored by ``schedule``; an empty table
+source, by the hash of the row, in spans of that hash; rows of equal doc_id follow by the hash of the row; null texts are documents like
+others; extra columns, of any name, are kept by ``mixed`` and ignored by ``schedule``; an empty table
 gives an empty result. Weights without documents get their slots, which stay empty.
 """
 
@@ -27,12 +29,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 
 @dataclass(frozen=True)
 class MixParams:
     block_rows: int = 16  # documents in a block
     period: int = 1024  # slots after which the schedule repeats, about
     id_span: int = 4096  # ids whose rows are numbered by one task
+    small_side: int = 10_000  # sources up to which the schedule is broadcast
     power: float = 0.5  # default target weight of a source: its documents to this power
 
 
@@ -65,37 +70,38 @@ def period_schedule(weights: DataFrame) -> DataFrame:
 
 
 def placed(documents: DataFrame, weights: DataFrame | None = None, q: MixParams = MixParams()) -> DataFrame:
-    """The documents with mix_block, mix_release, mix_deadline, mix_slot and mix_place (the order of the mixture)."""
-    columns = documents.columns
-    rows = documents.select("*", key_of().alias("mix_key"), F.expr(f"cast(floor(doc_id / {q.id_span}D) as long)").alias("mix_span"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("mix_hash"))
+    """mix_row (the document's columns as a struct) with mix_block, mix_release, mix_deadline, mix_slot and mix_place (the order of the mixture)."""
+    rows = documents.select(F.struct("*").alias("mix_row"), key_of().alias("mix_key"), F.col("doc_id").cast("long").alias("mix_id"), F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]).alias("mix_hash"))
+    # null ids come first and are dealt by the hash that orders them
+    rows = rows.withColumn("mix_span", F.expr(f"if(mix_id is null, shiftright(mix_hash, 43) - {1 << 60}L, mix_id div {q.id_span}L - if(mix_id < 0 and mix_id % {q.id_span}L <> 0, 1L, 0L))"))
     counts = rows.groupBy("mix_key", "mix_span").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("mix_key").orderBy(F.asc_nulls_first("mix_span")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("mix_key").orderBy("mix_span").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("mix_key", "mix_span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before"))
-    inside = Window.partitionBy("mix_key", "mix_span").orderBy(F.asc_nulls_first("doc_id"), "mix_hash")
-    rows = rows.withColumn("mix_nth", F.row_number().over(inside) - 1)
-    same = (rows["mix_key"] == counts["mix_key"]) & rows["mix_span"].eqNullSafe(counts["mix_span"])
-    rows = rows.join(counts, same).select(*[rows[c] for c in columns], rows["mix_key"], (F.col("mix_before") + F.col("mix_nth")).alias("mix_nth"))
-    rows = rows.withColumn("mix_block", F.expr(f"mix_nth div {q.block_rows}"))
-    plan = period_schedule(integer_weights(documents, weights, q)).selectExpr("mix_key plan_key", "w", "p", "slot0", "nth")
-    weight = plan.select("plan_key", F.col("w").alias("mix_w")).distinct()
-    out = rows.join(F.broadcast(weight), F.col("mix_key") == F.col("plan_key")).drop("plan_key")
-    out = out.join(F.broadcast(plan), (F.col("mix_key") == F.col("plan_key")) & (F.expr("mix_block % mix_w") == F.col("nth")))
+    inside = Window.partitionBy("mix_key", "mix_span").orderBy(F.asc_nulls_first("mix_id"), "mix_hash")
+    rows = rows.withColumn("mix_nth", F.row_number().over(inside) - 1).drop("mix_id", "mix_hash")
+    rows = rows.join(counts, ["mix_key", "mix_span"]).withColumn("mix_nth", F.col("mix_before") + F.col("mix_nth"))
+    shares = Scratch(documents.sparkSession, "mixing").keep(integer_weights(documents, weights, q), "weights")
+    plan = period_schedule(shares).groupBy("mix_key").agg(F.first("w").alias("mix_w"), F.first("p").alias("mix_p"), F.sort_array(F.collect_list(F.struct("nth", "slot0"))).alias("mix_slots"))
+    if shares.count() <= q.small_side:
+        plan = F.broadcast(plan)
+    out = rows.join(plan, "mix_key").withColumn("mix_block", F.expr(f"mix_nth div {q.block_rows}"))
+    out = out.withColumn("mix_slot", F.expr("(mix_block div mix_w) * mix_p + mix_slots[cast(mix_block % mix_w as int)].slot0"))
     return out.selectExpr(
-        *[f"`{c}`" for c in columns], "mix_block", "(mix_block * p) div w mix_release", "((mix_block + 1) * p + w - 1) div w mix_deadline",
-        "(mix_block div w) * p + slot0 mix_slot", f"((mix_block div w) * p + slot0) * {q.block_rows} + mix_nth % {q.block_rows} mix_place")
+        "mix_row", "mix_block", "(mix_block * mix_p) div mix_w mix_release", "((mix_block + 1) * mix_p + mix_w - 1) div mix_w mix_deadline", "mix_slot",
+        f"mix_slot * {q.block_rows} + mix_nth % {q.block_rows} mix_place")
 
 
 def schedule(documents: DataFrame, weights: DataFrame | None = None, q: MixParams = MixParams()) -> DataFrame:
     """doc_id, source, block, release, deadline, slot and place of every document."""
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source")
-    return placed(narrow, weights, q).selectExpr("doc_id", "source", "mix_block block", "mix_release release", "mix_deadline deadline", "mix_slot slot", "mix_place place")
+    return placed(narrow, weights, q).selectExpr("mix_row.doc_id", "mix_row.source", "mix_block block", "mix_release release", "mix_deadline deadline", "mix_slot slot", "mix_place place")
 
 
 def mixed(documents: DataFrame, weights: DataFrame | None = None, q: MixParams = MixParams(), partitions: int | None = None) -> DataFrame:
     """All documents, with their columns, in the order of the mixture (ranges of places, sorted)."""
     out = placed(documents, weights, q)
     ranged = out.repartitionByRange(partitions, "mix_place") if partitions else out.repartitionByRange("mix_place")
-    return ranged.sortWithinPartitions("mix_place").select(*[f"`{c}`" for c in documents.columns])
+    return ranged.sortWithinPartitions("mix_place").select("mix_row.*")
 
 
 def oracle_sql(q: MixParams = MixParams()) -> str:

@@ -56,6 +56,24 @@ def test_mix_keeps_all_rows_and_follows_the_slots(spark):
     assert mixing.mixed(doc_frame(spark, [])).count() == 0 and mixing.schedule(doc_frame(spark, doc_rows())).count() == len(doc_rows())
 
 
+def test_mix_bears_clashing_names_and_many_null_ids(spark):
+    names = ["p", "w", "n", "nth", "slot0", "ks", "mix_nth", "mix_key", "mix_row", "mix_hash", "mix_place", "plan_key", "weight"]
+    rows = [(i if i % 4 else None, f"t{i % 7}", "s%d" % (i % 3), *([i % 2] * len(names))) for i in range(-100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{x} int" for x in names))
+    out = mixing.mixed(df, None, mixing.MixParams(block_rows=4, period=16, id_span=32))
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, rows_of(df)))
+    got = mixing.schedule(df).collect()
+    assert len({r.place for r in got}) == len(rows)
+    first = {}
+    for r in sorted(got, key=lambda r: r.place):
+        first.setdefault(r.source, []).append(r.doc_id)
+    assert all(ids == sorted(ids, key=lambda x: (x is not None, x or 0)) for ids in first.values())
+
+
+def rows_of(df):
+    return df.collect()
+
+
 TURNS = "conv_id long, turn long, role string, text string, prompt string"
 
 
