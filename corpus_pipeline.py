@@ -40,8 +40,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, queries.tokenizer_path())
+    """Pieces of all documents in sequences of at most 2048 tokens, filled in the order of the mixture.
+
+    A written table keeps no order when it is read again, so the places of the mixture, which
+    depend on the rows alone, are found anew and rows packed by ranges of them.
+    """
+    return packing.pack(mixing.mixed(docs), queries.tokenizer_path())
 
 
 STAGES = [
