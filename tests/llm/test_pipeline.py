@@ -67,3 +67,37 @@ def test_awkward_and_empty_tables(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "None"]
     make(spark, tmp_path / "b", [], [])
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_packing_follows_the_mixture_over_several_files(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(1, 30)), "en", f"s{i % 5}", 0) for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mixed = Scratch(spark, "t").keep(corpus_pipeline.source_mix(spark, docs.repartition(6), ""), "mixed")
+        got = corpus_pipeline.pack_sequences(spark, mixed.repartition(7), "").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    places = {r.doc_id: r.place for r in mixing.schedule(docs).collect()}
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id >> 36, set()).add(places[r.doc_id])
+    ranges = [(min(v), max(v)) for _, v in sorted(by.items())]
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert {r.doc_id for r in got} == set(places)
+
+
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    text = prose(random.Random(2), 60_000)
+    rows = [(1, text, "en", "s", 1, 7, 8), (2, text + " x", "en", "s", 1, 7, 8), (3, prose(random.Random(3), 50), None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, w int, mix_place int")
+    state = docs
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")  # every score is 0.5
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        state = Scratch(spark, "t").keep(stage(spark, state, str(tmp_path)), name)
+        assert state.columns == docs.columns
+    assert {r.doc_id for r in state.collect()} == {1, 3}
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, state, "").collect()} == {1, 3}
