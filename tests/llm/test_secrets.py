@@ -54,18 +54,89 @@ def test_viterbi_is_the_best_path():
 
     import numpy as np
 
-    model, rng = secrets.field(), random.Random(2)
-    names = list(model.ids)
+    model, rng = secrets.field(), np.random.default_rng(2)
     for _ in range(30):
-        rows_ = [rng.sample(names, 6) for _ in range(rng.randint(1, 5))]
-        emit = [model.weights[[model.ids[f] for f in r]].sum(0) for r in rows_]
+        emit = rng.normal(0, 3, (int(rng.integers(1, 6)), 2))
 
         def value(path, emit=emit):
             full = [0, *path, 0]
-            return sum(model.moves[a, b] for a, b in zip(full, full[1:], strict=False)) + sum(e[t] for e, t in zip(emit, path, strict=True))
+            return sum(model.moves[a, b] for a, b in zip(full, full[1:], strict=False)) + sum([0, *e][t] for e, t in zip(emit, path, strict=True))
+
+        best = max(map(value, itertools.product(range(3), repeat=len(emit))))
+        assert np.isclose(value(model.decode(emit)), best)
+
+
+def test_runs_give_what_the_whole_chain_gives():
+    """Every token of every row decoded as one chain, against scan_rows and its certificates."""
+    model, source = secrets.field(), secrets._lines(random.Random(31))
+    texts = [" ".join(next(source)[0] for _ in range(4)) for _ in range(150)]
+    data, offsets = tk.text_buffers(pa.array(texts))
+    t = secrets.Tokens(data, offsets)
+    emit = model.emissions(t.features())
+    got = secrets.scan_rows(data, offsets, model)
+    inside = 0
+    for r, text in enumerate(texts):
+        tags = model.decode(emit[t.first[r] : t.last[r]].astype(float)) if t.last[r] > t.first[r] else []
+        found, before = [], 0
+        for i, tag in zip(range(t.first[r], t.last[r]), tags, strict=True):
+            lo, hi = (len(data[offsets[r] : x].tobytes().decode()) for x in (t.start[i], t.end[i]))
+            if tag == secrets.I and before:
+                found[-1][1] = hi
+            elif tag:
+                found.append([lo, hi])
+            before = tag
+            inside += tag != 0
+        taken = [(s, e) for _, s, e in base(text)]
+        want = [("crf", s, e) for s, e in found if not any(s < y and x < e for x, y in taken)]
+        assert [x for x in got[r] if x[0] == "crf"] == want
+    assert inside > 100
+
+
+def test_features_do_not_depend_on_the_batch():
+    """Each text alone gives the features that it has among others."""
+    import numpy as np
 
-        best = max(map(value, itertools.product(range(3), repeat=len(rows_))))
-        assert np.isclose(value(model.decode(rows_)), best)
+    source = secrets._lines(random.Random(5))
+    texts = [next(source)[0] for _ in range(60)] + ["", "é", "a", "==a=b== c=", "x" * 3000 + " pwd=" + "9" * 70]
+    t = secrets.Tokens(*tk.text_buffers(pa.array(texts)))
+    whole = np.stack(t.features(), axis=1)
+    for r, text in enumerate(texts):
+        alone = np.stack(secrets.Tokens(*tk.text_buffers(pa.array([text]))).features(), axis=1)
+        assert (whole[t.first[r] : t.last[r]] == alone).all()
+    assert (whole < list(secrets.FEATURES.values())).all() and (whole >= 0).all()
+
+
+def planted(n=400):
+    """Secrets of shapes that no template has, planted into documents' texts."""
+    import string
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(19)
+    take = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    alnum = string.ascii_letters + string.digits
+    shapes = [
+        lambda: ("GOOGLE_CLIENT_AUTH: ", "GOCSPX-" + take(alnum, 28)), lambda: ("connection ", "AccountKey" + take(alnum + "+/", 86) + "=="), lambda: ("hook ", "dapi" + take("0123456789abcdef", 8) + take("XYZUVW01", 24)),
+        lambda: ("stripe ", "rk_test_" + take(alnum, 24)), lambda: ("mailer SG key ", "SG." + take(alnum, 22) + "." + take(alnum, 43)), lambda: ("jwt ", "eyJ" + take(alnum, 33) + "." + take(alnum, 60) + "." + take(alnum + "-_", 43)),
+        lambda: ("wifi passphrase: ", take(string.ascii_lowercase, 3) + take(string.digits, 4) + take(string.ascii_uppercase, 4)), lambda: ("credentials = ", take(string.ascii_letters, 16)), lambda: ("certificate pin: ", take(alnum + "+/", 43) + "="),
+        lambda: ("PRIVATE_KEY='", take(alnum, 10) + "-" + take(alnum, 10) + "-" + take(alnum, 12)), lambda: ("db pwd ", take(alnum, 9) + "7" + take(alnum, 6) + "Q")]
+    texts = [r for r in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if r and len(r) > 200]
+    for k in range(n):
+        text = texts[k % len(texts)]
+        at = text.find(" ", rng.randrange(len(text) - 100)) + 1
+        name, value = shapes[k % len(shapes)]()
+        yield text[:at] + name + value + " " + text[at:], at + len(name), at + len(name) + len(value), texts[k % len(texts)]
+
+
+def test_recall_on_unknown_shapes_planted_into_documents():
+    model, found, cases = secrets.field(), 0, list(planted())
+    got = secrets.scan_rows(*tk.text_buffers(pa.array([c[0] for c in cases])), model)
+    for (_, lo, hi, _), spans in zip(cases, got, strict=True):
+        found += any(s < hi and lo < e for _, s, e in spans)
+    by_base = sum(any(s < hi and lo < e for _, s, e in base(text)) for text, lo, hi, _ in cases)
+    plain = secrets.scan_rows(*tk.text_buffers(pa.array(sorted({c[3] for c in cases}))), model)
+    assert found >= 0.9 * len(cases) and by_base < 0.3 * len(cases), (found, by_base)
+    assert not any(k == "crf" for spans in plain for k, _, _ in spans)  # nothing in the texts as they were
 
 
 def test_personal_data_and_prose_stay(spark):
