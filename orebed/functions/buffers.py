@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from . import scalars
 
 BUFFER = T.StructType([T.StructField("shape", T.ArrayType(T.LongType())), T.StructField("outer_stride", T.LongType()), T.StructField("data", T.BinaryType())])
+ARROW_BUFFER = pa.struct([("shape", pa.list_(pa.int64())), ("outer_stride", pa.int64()), ("data", pa.binary())])
 #: Fixed values of the storage encoding: a magic, then rank, dimensions, stride, length, bytes.
 STORAGE_SUFFIX = b"-BUFFER\0\x01"
 MAX_ARGUMENT, MAX_RESULT = 32 << 20, 64 << 20
@@ -121,11 +123,15 @@ def dense(pixels: np.ndarray) -> tuple[list[int], int, bytes]:
     return list(pixels.shape), pixels.shape[1] * 4, np.ascontiguousarray(pixels).tobytes()
 
 
-@F.pandas_udf(BUFFER)
-def resize_nearest(b: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """The pixel at floor(place * source size / target size); exact, padding ignored, dense result."""
-    rows = [dense(resized(rgba(list(s), int(t), d), int(w), int(h))) for s, t, d, w, h in zip(b["shape"], b["outer_stride"], b["data"], width, height, strict=True)]
-    return pd.DataFrame(rows, columns=["shape", "outer_stride", "data"])
+def arrow_buffers(rows: list[tuple[list[int], int, bytes] | None]) -> pa.Array:
+    return pa.array([None if r is None else dict(zip(("shape", "outer_stride", "data"), r, strict=True)) for r in rows], ARROW_BUFFER)
+
+
+@F.arrow_udf(BUFFER)
+def resize_nearest(b: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    """The pixel at floor(place * source size / target size); exact, padding ignored, dense result. Null for null."""
+    rows = zip(b.to_pylist(), width.to_pylist(), height.to_pylist(), strict=True)
+    return arrow_buffers([None if None in (x, w, h) else dense(resized(rgba(x["shape"], x["outer_stride"], x["data"]), w, h)) for x, w, h in rows])
 
 
 def storage_magic(host: str) -> bytes:
@@ -163,8 +169,8 @@ def encode_storage_column(b: Column, host: str = "orebed") -> Column:
 
 
 def decode_storage_column(raw: Column, host: str = "orebed") -> Column:
-    @F.pandas_udf(BUFFER)
-    def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode_storage(v, host) for v in values], columns=["shape", "outer_stride", "data"])
+    @F.arrow_udf(BUFFER)
+    def run(values: pa.Array) -> pa.Array:
+        return arrow_buffers([None if v is None else decode_storage(v, host) for v in values.to_pylist()])
 
     return run(raw)

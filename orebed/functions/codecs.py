@@ -12,11 +12,11 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import BUFFER, MAX_ARGUMENT, MAX_RESULT, dense, rgba
+from .buffers import BUFFER, MAX_ARGUMENT, MAX_RESULT, arrow_buffers, dense, rgba
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
@@ -267,34 +267,32 @@ def webp_encode(shape: list[int], stride: int, data: bytes, quality: int = 85) -
 # ---- columns ----------------------------------------------------------------------------
 
 
-def _buffers(rows: list[tuple[list[int], int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["shape", "outer_stride", "data"])
+def _encoded(b: pa.Array, f, *settings: pa.Array) -> pa.Array:
+    """f of every buffer and its settings; null where any of them is null."""
+    rows = zip(b.to_pylist(), *(s.to_pylist() for s in settings), strict=True)
+    return pa.array([None if None in (x, *more) else f(x["shape"], x["outer_stride"], x["data"], *more) for x, *more in rows], pa.binary())
 
 
-def _each(b: pd.DataFrame):
-    return ((list(s), int(t), d) for s, t, d in zip(b["shape"], b["outer_stride"], b["data"], strict=True))
+@F.arrow_udf(BUFFER)
+def ppm_decode_column(data: pa.Array) -> pa.Array:
+    return arrow_buffers([None if d is None else ppm_decode(d) for d in data.to_pylist()])
 
 
-@F.pandas_udf(BUFFER)
-def ppm_decode_column(data: pd.Series) -> pd.DataFrame:
-    return _buffers([ppm_decode(d) for d in data])
+@F.arrow_udf(T.BinaryType())
+def ppm_encode_column(b: pa.Array) -> pa.Array:
+    return _encoded(b, ppm_encode)
 
 
-@F.pandas_udf(T.BinaryType())
-def ppm_encode_column(b: pd.DataFrame) -> pd.Series:
-    return pd.Series([ppm_encode(*x) for x in _each(b)], dtype=object)
+@F.arrow_udf(BUFFER)
+def png_decode_column(data: pa.Array) -> pa.Array:
+    return arrow_buffers([None if d is None else png_decode(d) for d in data.to_pylist()])
 
 
-@F.pandas_udf(BUFFER)
-def png_decode_column(data: pd.Series) -> pd.DataFrame:
-    return _buffers([png_decode(d) for d in data])
+@F.arrow_udf(T.BinaryType())
+def png_encode_column(b: pa.Array, compression: pa.Array) -> pa.Array:
+    return _encoded(b, png_encode, compression)
 
 
-@F.pandas_udf(T.BinaryType())
-def png_encode_column(b: pd.DataFrame, compression: pd.Series) -> pd.Series:
-    return pd.Series([png_encode(*x, int(c)) for x, c in zip(_each(b), compression, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.BinaryType())
-def webp_encode_column(b: pd.DataFrame, quality: pd.Series) -> pd.Series:
-    return pd.Series([webp_encode(*x, int(q)) for x, q in zip(_each(b), quality, strict=True)], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def webp_encode_column(b: pa.Array, quality: pa.Array) -> pa.Array:
+    return _encoded(b, webp_encode, quality)

@@ -12,7 +12,7 @@ import struct
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,16 +75,23 @@ def u8_scale(value: Column, factor: Column) -> Column:
     return F.when(F.isnan(x) | (x <= 0), F.lit(0)).when(x >= 255, F.lit(255)).otherwise(x.cast("int"))
 
 
-@F.pandas_udf(T.FloatType())
-def f32_from_bits(bits: pd.Series) -> pd.Series:
-    if not bits.between(0, 2**32 - 1).all():
+@F.arrow_udf(T.FloatType())
+def f32_from_bits(bits: pa.Array) -> pa.Array:
+    """The float with these bits; null for null."""
+    given = bits.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if ((given < 0) | (given > 2**32 - 1)).any():
         raise ValueError("f32 bits must be in 0..=4294967295")
-    return pd.Series(bits.to_numpy(np.int64).astype(np.uint32).view(np.float32))
+    return pa.array(given.astype(np.uint32).view(np.float32), mask=_nulls(bits))
 
 
-@F.pandas_udf(T.LongType())
-def f32_to_bits(value: pd.Series) -> pd.Series:
-    return pd.Series(value.to_numpy(np.float32).view(np.uint32).astype(np.int64))
+@F.arrow_udf(T.LongType())
+def f32_to_bits(value: pa.Array) -> pa.Array:
+    plain = value.fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float32)
+    return pa.array(plain.view(np.uint32).astype(np.int64), mask=_nulls(value))
+
+
+def _nulls(column: pa.Array) -> np.ndarray:
+    return column.is_null().to_numpy(zero_copy_only=False)
 
 
 def float_literal(value: float) -> str:
@@ -100,6 +107,7 @@ def float_literal(value: float) -> str:
 
 # ---- fractions --------------------------------------------------------------------------
 
+NO_DENOMINATOR, ZERO_DIVISOR = "a fraction needs a denominator above zero", "a fraction cannot be divided by zero"
 FRACTION = T.StructType([T.StructField("num", T.LongType()), T.StructField("den", T.LongType())])
 
 
@@ -111,7 +119,7 @@ def canonical(value: Fraction) -> tuple[int, int]:
 
 def make_fraction(num: int, den: int) -> Fraction:
     if den <= 0:
-        raise ValueError("fraction denominator must be positive")
+        raise ValueError(NO_DENOMINATOR)
     return Fraction(num, den)
 
 
@@ -137,31 +145,73 @@ def fraction_to_f32(value: Fraction) -> float:
     return -out if value.numerator < 0 else out
 
 
-def _fractions(frame: pd.DataFrame) -> list[Fraction]:
-    return [make_fraction(int(n), int(d)) for n, d in zip(frame["num"], frame["den"], strict=True)]
+SMALL = 1 << 31  # below it, products fit 64 bits and their sums too
+EXACT = 1 << 24  # up to it, a quotient of doubles rounds to the nearest float
+
+
+def _parts(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numerators, denominators (0/1 for null) and nulls of a fraction column."""
+    num, den = column.field("num"), column.field("den")
+    null = _nulls(column) | _nulls(num) | _nulls(den)
+    return _whole(num, 0, null), _whole(den, 1, null), null
+
+
+def _whole(column: pa.Array, instead: int, null: np.ndarray) -> np.ndarray:
+    return np.where(null, instead, column.fill_null(instead).to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _column(num: np.ndarray, den: np.ndarray, null: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(num), pa.array(den)], fields=[pa.field("num", pa.int64()), pa.field("den", pa.int64())], mask=pa.array(null))
+
+
+def _checked(den: np.ndarray) -> None:
+    if (den <= 0).any():
+        raise ValueError(NO_DENOMINATOR)
 
 
-def _frame(values: list[Fraction]) -> pd.DataFrame:
-    return pd.DataFrame([canonical(v) for v in values], columns=["num", "den"], dtype="int64")
+def _reduced(num: np.ndarray, den: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In lowest terms with a positive denominator; neither part is the least of 64 bits."""
+    g = np.gcd(num, den) * np.sign(den)
+    return num // g, den // g
 
 
-@F.pandas_udf(FRACTION)
-def fraction(num: pd.Series, den: pd.Series) -> pd.DataFrame:
-    return _frame([make_fraction(int(n), int(d)) for n, d in zip(num, den, strict=True)])
+@F.arrow_udf(FRACTION)
+def fraction(num: pa.Array, den: pa.Array) -> pa.Array:
+    """num/den in lowest terms; null if either is null."""
+    null = _nulls(num) | _nulls(den)
+    n, d = _whole(num, 0, null), _whole(den, 1, null)
+    _checked(d)
+    least = n == I64_MIN
+    top, low = _reduced(np.where(least, 0, n), d)
+    for i in np.flatnonzero(least):
+        top[i], low[i] = canonical(make_fraction(int(n[i]), int(d[i])))
+    return _column(top, low, null)
 
 
-def _arithmetic(name: str, f):
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _frame([f(x, y) for x, y in zip(_fractions(a), _fractions(b), strict=True)])
+def _arithmetic(name: str, vector, single):
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (an, ad, a0), (bn, bd, b0) = _parts(a), _parts(b)
+        null = a0 | b0
+        _checked(np.where(null, 1, ad))
+        _checked(np.where(null, 1, bd))
+        if name == "fraction_divide":
+            if (bn[~null] == 0).any():
+                raise ZeroDivisionError(ZERO_DIVISOR)
+            bn = np.where(null, 1, bn)
+        fits = null | np.all([(-SMALL < x) & (x < SMALL) for x in (an, ad, bn, bd)], axis=0)
+        num, den = _reduced(*vector(*(np.where(fits, x, 1) for x in (an, ad, bn, bd))))
+        for i in np.flatnonzero(~fits):  # beyond 64 bits, by Python's integers
+            num[i], den[i] = canonical(single(Fraction(int(an[i]), int(ad[i])), Fraction(int(bn[i]), int(bd[i]))))
+        return _column(num, den, null)
 
     run.__name__ = name
-    return F.pandas_udf(run, FRACTION)
+    return F.arrow_udf(run, FRACTION)
 
 
-fraction_add = _arithmetic("fraction_add", lambda x, y: x + y)
-fraction_subtract = _arithmetic("fraction_subtract", lambda x, y: x - y)
-fraction_multiply = _arithmetic("fraction_multiply", lambda x, y: x * y)
-fraction_divide = _arithmetic("fraction_divide", lambda x, y: x / y)  # ZeroDivisionError on 0
+fraction_add = _arithmetic("fraction_add", lambda n, d, m, e: (n * e + m * d, d * e), lambda x, y: x + y)
+fraction_subtract = _arithmetic("fraction_subtract", lambda n, d, m, e: (n * e - m * d, d * e), lambda x, y: x - y)
+fraction_multiply = _arithmetic("fraction_multiply", lambda n, d, m, e: (n * m, d * e), lambda x, y: x * y)
+fraction_divide = _arithmetic("fraction_divide", lambda n, d, m, e: (n * e, d * m), lambda x, y: x / y)
 FRACTION_ARITHMETIC = {"+": fraction_add, "-": fraction_subtract, "*": fraction_multiply, "/": fraction_divide}
 
 
@@ -174,6 +224,12 @@ def fraction_compare(op: str, a: Column, b: Column) -> Column:
     return compare(op, part(a, "num") * part(b, "den"), part(b, "num") * part(a, "den"))
 
 
-@F.pandas_udf(T.FloatType())
-def f32_from_fraction(value: pd.DataFrame) -> pd.Series:
-    return pd.Series([fraction_to_f32(v) for v in _fractions(value)], dtype="float32")
+@F.arrow_udf(T.FloatType())
+def f32_from_fraction(value: pa.Array) -> pa.Array:
+    """The nearest float, ties to even; null for null."""
+    num, den, null = _parts(value)
+    _checked(den)
+    out = (num / den).astype(np.float32)
+    for i in np.flatnonzero((num > EXACT) | (num < -EXACT) | (den > EXACT)):
+        out[i] = fraction_to_f32(Fraction(int(num[i]), int(den[i])))
+    return pa.array(out, mask=null)

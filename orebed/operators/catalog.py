@@ -175,6 +175,11 @@ def reference_counts(t: Tables) -> DataFrame:
     return out.select("content_id", F.coalesce("source_count", F.lit(0)).cast("bigint").alias("source_count"), F.coalesce("recipe_count", F.lit(0)).cast("bigint").alias("recipe_count"))
 
 
+def related_counts(rows: DataFrame, key: str, expected: int) -> DataFrame:
+    """(key, n): keys that have another number of related rows than expected."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") != expected)
+
+
 def schema_version(migrations: DataFrame) -> DataFrame:
     return migrations.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
 
@@ -206,27 +211,35 @@ def foreign_key_violations(t: Tables) -> DataFrame:
 
 
 def constraint_violations(t: Tables) -> DataFrame:
-    """(table_name, rule, violations) of every rule that some row breaks."""
+    """(table_name, rule, violations) of every rule that some row breaks: one pass a table, and one aggregate a key."""
     parts = []
-
-    def count(name: str, rule: str, rows: DataFrame) -> None:
-        parts.append(rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), "violations"))
-
     for name, df in t.items():
-        for rule in schema.CHECKS.get(name, ()):
-            count(name, rule, df.where(f"not coalesce({rule}, false)"))
+        rules = {rule: f"not coalesce({rule}, false)" for rule in schema.CHECKS.get(name, ())}
+        rules["not null"] = " or ".join(f"`{c}` is null" for c in df.columns if c not in schema.NULLABLE) or "false"
+        counted = df.agg(*[F.count_if(F.expr(broken)).alias(f"r{i}") for i, broken in enumerate(rules.values())])
+        rows = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("violations")) for i, rule in enumerate(rules)])).alias("x")
+        parts.append(counted.select(rows).select(F.lit(name).alias("table_name"), "x.rule", "x.violations"))
         for key in ([schema.KEYS[name]] if name in schema.KEYS else []) + schema.UNIQUE.get(name, []):
-            count(name, f"unique {', '.join(key)}", df.groupBy(*key).count().where("count > 1"))
-        required = [c for c in df.columns if c not in schema.NULLABLE]
-        count(name, "not null", df.where(" or ".join(f"`{c}` is null" for c in required)))
+            twice = df.groupBy(*key).count().where("count > 1").agg(F.count("*").alias("violations"))
+            parts.append(twice.select(F.lit(name).alias("table_name"), F.lit(f"unique {', '.join(key)}").alias("rule"), "violations"))
     return reduce(DataFrame.union, parts).where("violations > 0")
 
 
 def object_issues(t: Tables, ns: ids.Namespace = ids.DEFAULT, host: str = "orebed") -> DataFrame:
     """(content_id, issue) of every object that does not prove its row; nothing is repaired."""
-    from ..functions import buffers
+    rows = with_actual(contents(t).join(t["objects"], "content_id", "left"), ns, host)
+    issue = (
+        F.when(F.col("data").isNull(), "missing object")
+        .when(F.col("relative_path") != object_path(F.col("content_id")), "wrong path")
+        .when(F.octet_length("data") != F.col("byte_length"), "wrong length")
+        .when(~F.col("actual").eqNullSafe(F.col("content_id")), "content does not match its identity")
+    )
+    return rows.select("content_id", issue.alias("issue")).where("issue is not null")
+
 
-    rows = contents(t).join(t["objects"], "content_id", "left")
+def with_actual(rows: DataFrame, ns: ids.Namespace = ids.DEFAULT, host: str = "orebed") -> DataFrame:
+    """rows(kind, data, ...) with ``actual``: the id that the data proves for its kind, null if it proves none."""
+    from ..functions import buffers
 
     @F.pandas_udf("string")
     def buffer_content(data):
@@ -241,14 +254,7 @@ def object_issues(t: Tables, ns: ids.Namespace = ids.DEFAULT, host: str = "orebe
     plain = rows.where("kind <> 'buffer' or data is null")
     actual = F.when(F.col("kind") == "bytes", ids.content_id("bytes", F.col("data"), ns)).otherwise(ids.raw_content_id(F.col("data"), ns))
     stored = rows.where("kind = 'buffer' and data is not null")
-    both = plain.withColumn("actual", actual).union(stored.withColumn("actual", buffer_content("data")))
-    issue = (
-        F.when(F.col("data").isNull(), "missing object")
-        .when(F.col("relative_path") != object_path(F.col("content_id")), "wrong path")
-        .when(F.octet_length("data") != F.col("byte_length"), "wrong length")
-        .when(~F.col("actual").eqNullSafe(F.col("content_id")), "content does not match its identity")
-    )
-    return both.select("content_id", issue.alias("issue")).where("issue is not null")
+    return plain.withColumn("actual", actual).union(stored.withColumn("actual", buffer_content("data")))
 
 
 def verify(t: Tables, ns: ids.Namespace = ids.DEFAULT, host: str = "orebed") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import identity as ids
+from . import catalog
 
 MAX_DEPTH = 256
 
@@ -82,13 +83,12 @@ def argument_issues(t: Mapping[str, DataFrame], ns: ids.Namespace = ids.DEFAULT)
 # ---- reuse of results -------------------------------------------------------------------
 
 
-def cached(requests: DataFrame, t: Mapping[str, DataFrame], ns: ids.Namespace = ids.DEFAULT) -> DataFrame:
-    """requests(recipe_id, ...) with content_id and hit; a result whose object fails its hash is a miss."""
-    objects = t["objects"].select("content_id", "data")
-    kinds = t["contents"].select("content_id", "kind").join(t["content_value_kinds"].withColumnRenamed("kind", "vk"), "content_id", "left").select("content_id", F.coalesce("vk", "kind").alias("kind"))
-    results = t["recipe_results"].join(objects, "content_id").join(kinds, "content_id")
-    proven = F.when(F.col("kind") == "bytes", ids.content_id("bytes", F.col("data"), ns)).when(F.col("kind") == "raw", ids.raw_content_id(F.col("data"), ns)).otherwise(F.col("content_id"))
-    results = results.where(proven == F.col("content_id")).select("recipe_id", "content_id")
+def cached(requests: DataFrame, t: Mapping[str, DataFrame], ns: ids.Namespace = ids.DEFAULT, host: str = "orebed") -> DataFrame:
+    """requests(recipe_id, ...) with content_id and hit; a result whose object, of any kind, fails its hash is a miss."""
+    wanted = t["recipe_results"].join(requests.select("recipe_id").distinct(), "recipe_id", "left_semi")
+    kinds = catalog.contents(t).join(wanted.select("content_id").distinct(), "content_id", "left_semi").select("content_id", "kind")
+    proven = catalog.with_actual(kinds.join(t["objects"].select("content_id", "data"), "content_id"), ns, host)
+    results = wanted.join(proven.where("actual = content_id").select("content_id"), "content_id", "left_semi").select("recipe_id", "content_id")
     return requests.join(results, "recipe_id", "left").withColumn("hit", F.col("content_id").isNotNull())
 
 

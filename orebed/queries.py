@@ -389,7 +389,7 @@ def broken_sequences(spark, sf):
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) <> 4")
 def related_counts(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <> 4")
+    return catalog.related_counts(read(spark, sf, "lineitem"), "l_orderkey", 4)
 
 
 @query("SELECT event_type AS capability, user_id AS k FROM events GROUP BY 1, 2 HAVING min(event_id) <> max(event_id)")
@@ -484,6 +484,24 @@ for _op, _name, _num, _den in (
     QUERIES[_name], SQL[_name] = fraction_query(_op), d_fraction(_num, _den)
 
 
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN n // gcd(n, d) END AS num, CASE WHEN l_linenumber <> 2 THEN CAST(CAST(CAST(n AS DOUBLE) / CAST(d AS DOUBLE) AS FLOAT) AS DOUBLE) END AS x, CASE WHEN l_linenumber NOT IN (2, 3) THEN (2 * n) // gcd(2 * n, d) END AS twice FROM {D_RATIO}")
+def fractions_of_null(spark, sf):
+    """Null in, null out: in either part, in either operand, and in what is made of them."""
+    n = F.when(F.col("l_linenumber") != 2, F.col("n"))
+    r = ratios(spark, sf).select("l_orderkey", "l_linenumber", scalars.fraction(n, F.col("d")).alias("f"))
+    other = F.when(F.col("l_linenumber") != 3, F.col("f"))
+    return r.select("l_orderkey", "l_linenumber", "f.num", scalars.f32_from_fraction("f").cast("double").alias("x"), scalars.fraction_add(F.col("f"), other).getField("num").alias("twice"))
+
+
+@query(f"SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN hex(data) END AS stored, CASE WHEN vec_id % 3 <> 0 THEN hex(data) END AS ppm, vec_id % 3 = 0 AS png_null FROM (SELECT vec_id, unhex(array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN i % 4 = 3 THEN 'FF' ELSE substr(hex(data), CAST(2 * i + 1 AS INTEGER), 2) END), '')) AS data FROM {D_BUFFERS})")
+def codecs_of_null(spark, sf):
+    b = vector_buffers(spark, sf).select("vec_id", F.when(F.col("vec_id") % 3 != 0, codecs.ppm_decode_column(codecs.ppm_encode_column("b"))).alias("b"))
+    stored = buffers.decode_storage_column(buffers.encode_storage_column(F.col("b"))).getField("data")
+    ppm = codecs.ppm_decode_column(codecs.ppm_encode_column(F.col("b"))).getField("data")
+    png = codecs.png_decode_column(codecs.png_encode_column(F.col("b"), F.lit(6)))
+    return b.select("vec_id", F.hex(stored).alias("stored"), F.hex(ppm).alias("ppm"), png.isNull().alias("png_null"))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, n * l_linenumber = d * d AS eq, n * l_linenumber <> d * d AS ne, n * l_linenumber < d * d AS lt, n * l_linenumber <= d * d AS le, n * l_linenumber > d * d AS gt, n * l_linenumber >= d * d AS ge FROM {D_RATIO}")
 def fraction_compare(spark, sf):
     r = ratios(spark, sf).select("l_orderkey", "l_linenumber", scalars.fraction("n", "d").alias("a"), scalars.fraction("d", F.col("l_linenumber").cast("bigint")).alias("b"))
@@ -656,6 +674,19 @@ def cache_reuse(spark, sf):
     return lineage.cached(asked, t).groupBy("hit").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT d % 3 <> 0 AS hit, count(*) AS n FROM (SELECT min(vec_id) AS d FROM {D_BUFFERS} GROUP BY data) GROUP BY 1")
+def cache_reuse_buffers(spark, sf):
+    """Every buffer is a recorded result; every third stored object is spoiled and must not be reused."""
+    b = vector_buffers(spark, sf).select("vec_id", "b", ids.content_id("buffer", F.col("b")).alias("content_id")).groupBy("content_id").agg(F.min_by("b", "vec_id").alias("b"), F.min("vec_id").alias("vec_id"))
+    raw = buffers.encode_storage_column(F.col("b"))
+    objects = b.select("content_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.substring(raw, 1, 60), F.lit(b"x"))).otherwise(raw).alias("data"))
+    t = {"objects": objects, "contents": b.select("content_id", F.lit(0).cast("bigint").alias("byte_length"), F.lit("").alias("relative_path"), F.lit("raw").alias("kind"))}
+    t["content_value_kinds"] = b.select("content_id", F.lit("buffer").alias("kind"))
+    recipe = F.sha2(F.col("vec_id").cast("string"), 256).alias("recipe_id")
+    t["recipe_results"] = b.select(recipe, "content_id")
+    return lineage.cached(b.select(recipe), t).groupBy("hit").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT r1 AS recipe_id, content_id AS expected, CAST(NULL AS VARCHAR) AS actual FROM (SELECT DISTINCT r1, content_id FROM {D_DERIVED} WHERE quality = 0)")
 def replay_mismatches(spark, sf):
     d = derivations(spark, sf)

@@ -251,12 +251,16 @@ class Workspace:
         observations = t["invocation_observations"].join(wanted, "recipe_id", "left_semi").join(t["external_observations"], "dependency_id")
         for r in observations.orderBy("recipe_id", "observation_index").collect():
             seen.setdefault(r.recipe_id, []).append(r)
-        used = t["lineage_arguments"].where("parent_kind = 'source'").select(F.col("parent_id").alias("source_id")).distinct()
+        used = t["lineage_arguments"].join(wanted, "recipe_id", "left_semi").where("parent_kind = 'source'").select(F.col("parent_id").alias("source_id")).distinct()
         sources = {r.source_id: r for r in t["source_assets"].join(used, "source_id", "left_semi").collect()}
 
+        built: dict[str, Invocation] = {}  # a shared parent is built and proven once
+
         def build(id_: str, path: tuple[str, ...]) -> Invocation:
             if id_ in path or len(path) > lineage.MAX_DEPTH:
                 raise EngineError("stored lineage holds a cycle or is too deep")
+            if id_ in built:
+                return built[id_]
             parts = []
             for i, r in enumerate(args.get(id_, [])):
                 if r.argument_index != i:
@@ -274,7 +278,8 @@ class Workspace:
             call = calls[id_]
             if ids.recipe(call.transform_id, [(a.kind, a.id) for a in parts], [d.id for d in deps], self.namespace) != id_:
                 raise EngineError(f"recipe {id_} does not match its identity")
-            return Invocation(call.transform_name, call.transform_id, id_, tuple(parts), deps)
+            built[id_] = Invocation(call.transform_name, call.transform_id, id_, tuple(parts), deps)
+            return built[id_]
 
         return build(recipe, ())
 
@@ -302,7 +307,9 @@ class Workspace:
         value, world = self.result(recipe), self.world()
         if snapshot:
             t = self.tables()
-            kept = t["world_snapshots"].join(t["external_observations"], "dependency_id").join(t["objects"], "content_id").collect()
+            seen = [(n.id,) for n in runtime.ancestors_first(value.lineage) if isinstance(n, Observation)]
+            used = self.spark.createDataFrame(seen, "dependency_id string")  # of this derivation only
+            kept = t["world_snapshots"].join(used, "dependency_id", "left_semi").join(t["external_observations"], "dependency_id").join(t["objects"], "content_id").collect()
             world = SnapshotWorld({(r.capability, bytes(r.observation_key)): bytes(r.data) for r in kept}, world)
         engine = Engine(world, self.registry, self.results(), None, None, self.namespace)
         engine.run(source)
@@ -361,11 +368,12 @@ class Workspace:
             raise EngineError(f"no valid artifact bundle {id_}")
         return {"bundle": bundle, "artifacts": [(m.artifact_id, m.transform_id) for m in members]}
 
-    def verify(self) -> dict:
+    def verify(self, limit: int = catalog.PAGE_LIMIT, cursor: str | None = None) -> dict:
+        """Totals, and a page of issues with the cursor of the next page, so that every issue can be read."""
         t = self.tables()
         out = catalog.verify(t, self.namespace, self.namespace.language).first().asDict()
-        out["issues"] = [r.asDict() for r in catalog.object_issues(t, self.namespace, self.namespace.language).orderBy("content_id").limit(100).collect()]
-        return out
+        issues = catalog.page(catalog.object_issues(t, self.namespace, self.namespace.language), "content_id", limit, cursor)
+        return out | {"issues": issues["rows"], "issues_truncated": issues["truncated"], "issues_cursor": issues["next_cursor"]}
 
     def transforms(self, origin: str | None = None) -> list[dict]:
         return [{"name": r.name, "origin": r.origin, "version": r.version, "signature": r.signature(), "id": r.id, "abi": r.abi, "module": r.module_content} for r in self.registry.listing() if origin in (None, r.origin)]

@@ -166,3 +166,32 @@ def test_prefix_bounds():
 
     assert upper("ab") == "ac" and upper("a\U0010ffff") == "b" and upper("\U0010ffff") is None and upper("") is None
     assert upper("퟿") == "" and "a\U0010ffff" < upper("a")
+
+
+def test_fraction_columns_equal_exact_arithmetic_at_the_edges(spark):
+    import random
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    edge = [0, 1, -1, 2**31 - 1, -(2**31), 2**31, 2**32 + 1, 2**62, -(2**63), 2**63 - 1, 6, -9]
+    rows = [(rng.choice(edge), rng.choice([x for x in edge if x > 0])) for _ in range(80)] + [(None, 3), (3, None)]
+    df = spark.createDataFrame(rows, "n long, d long").select("n", "d", scalars.fraction("n", "d").alias("f"))
+    got = df.select("n", "d", "f", scalars.f32_from_fraction("f").alias("x")).collect()
+    for r in got:
+        if r.n is None or r.d is None:
+            assert r.f is None and r.x is None
+        else:
+            f = Fraction(r.n, r.d)
+            assert tuple(r.f) == (f.numerator, f.denominator) and r.x == scalars.fraction_to_f32(f)
+    small = [(rng.randint(-(2**31) - 9, 2**31 + 9), rng.randint(1, 2**20), rng.choice([rng.randint(-50, 50), -(2**31) - 1]) or 1, rng.randint(1, 2**11)) for _ in range(200)]
+    frame = spark.createDataFrame(small, "a long, b long, c long, d long").select("*", scalars.fraction("a", "b").alias("x"), scalars.fraction("c", "d").alias("y"))
+    ops = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: x / y}
+    for r in frame.select("*", *[f("x", "y").alias(k) for k, f in scalars.FRACTION_ARITHMETIC.items()]).collect():
+        for k, f in ops.items():
+            want = f(Fraction(r.a, r.b), Fraction(r.c, r.d))
+            assert tuple(r[k]) == (want.numerator, want.denominator)
+    for bad in (scalars.fraction(F.lit(1), F.lit(0)), scalars.fraction_divide(scalars.fraction(F.lit(1), F.lit(1)), scalars.fraction(F.lit(0), F.lit(1)))):
+        with pytest.raises(Exception, match="fraction"):
+            spark.range(1).select(bad).collect()

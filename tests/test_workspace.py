@@ -198,3 +198,38 @@ def test_stream_of_files(spark, tmp_path):
     q = streaming.ingest(streaming.watch_files(spark, str(tmp_path / "in")), w, str(tmp_path / "c"))
     q.awaitTermination()
     assert w.stats()["contents"] == 1
+
+
+def test_a_deep_diamond_is_rebuilt_once_a_node(spark, tmp_path):
+    w = Workspace.init(spark, tmp_path)
+    w.import_bytes("a", b"start")
+    content, transform = ids.raw_content(b"start"), ids.raw_content(b"join")
+    source = ids.source("a", content)
+    calls, args, last = [], [], ("source", source)
+    for _ in range(26):  # both arguments derive from the same parent: 2 ** 26 paths
+        recipe = ids.recipe(transform, [last, last], [])
+        calls.append((recipe, transform, "join"))
+        for i in range(2):
+            args.append((recipe, i, "ab"[i], last[0], last[1], "bytes", None, content, last[0], last[1]))
+        last = ("recipe", recipe)
+    w.append({"lineage_invocations": w.rows("lineage_invocations", calls), "lineage_arguments": w.rows("lineage_arguments", args)})
+    root, depth = w.stored_lineage(last[1]), 0
+    while hasattr(root.arguments[0].parent, "arguments"):
+        assert root.arguments[0].parent is root.arguments[1].parent
+        root, depth = root.arguments[0].parent, depth + 1
+    assert depth == 25
+
+
+def test_every_issue_can_be_paged(spark, tmp_path):
+    w = Workspace.init(spark, tmp_path)
+    for k in range(5):
+        w.import_bytes(f"a{k}", b"good%d" % k)
+    w.append({"objects": w.rows("objects", [(ids.raw_content(b"good%d" % k), bytearray(b"evil")) for k in range(5)])})
+    seen, cursor = [], None
+    while True:
+        report = w.verify(2, cursor)
+        seen += [r["content_id"] for r in report["issues"]]
+        cursor = report["issues_cursor"]
+        if not report["issues_truncated"]:
+            break
+    assert sorted(set(seen)) == sorted(ids.raw_content(b"good%d" % k) for k in range(5)) and report["object_issues"] == 5
