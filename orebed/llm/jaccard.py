@@ -14,9 +14,13 @@ is the size up to which enumerating pairs costs less than scanning lists of the
 that the corpus shows.
 
 Long lists are never expanded into pairs of rows. Classes that long lists tie together form
-a dense group; its sets are dealt by size into blocks of bounded bytes, blocks of fitting
-sizes meet, and all intersections of two blocks come from matrix products over their common
-shingles. A meeting of blocks sends on a spanning forest of its links, not all links. Pairs
+a dense group; its sets are dealt by size into blocks of bounded bytes, and all
+intersections of two blocks come from matrix products over their common
+shingles. A meeting of blocks sends on a spanning forest of its links, not all links. First
+every block meets the first blocks of fitting sizes, the leaders, which is linear in the
+group. Sets of the group's largest component by then need no look at each other; the sets
+outside it meet all blocks of fitting sizes. So a group of near copies, however large, costs its
+size times the few that the leaders do not reach. Pairs
 in short lists are counted by the keys they share, which bounds their overlap, and verified
 on their whole sets, unless they are in one component by then. So every link between
 different sets is looked at, and the components are exact, whatever the group sizes.
@@ -112,7 +116,7 @@ class JaccardJoin:
     def __init__(self, spark: SparkSession, documents: DataFrame, q: JoinParams = JoinParams()) -> None:
         self.spark, self.q = spark, q
         self.classes: DataFrame | None = None  # (fp, lead): the smallest doc_id of each class
-        self.docs = documents.selectExpr("cast(doc_id as long) doc_id", "text")
+        self.docs = documents.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) th")
         self.scratch = Scratch(spark, "jaccard")
 
     # ---- keys -------------------------------------------------------------------------
@@ -173,9 +177,9 @@ class JaccardJoin:
                 flat = [x for x in heads if x is not None]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-                yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), lists], names=["doc_id", "n", "fp", "pre"])
+                yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), batch.column(2), lists], names=["doc_id", "n", "fp", "th", "pre"])
 
-        return self.docs.mapInArrow(keys, "doc_id long, n long, fp long, pre array<long>")
+        return self.docs.mapInArrow(keys, "doc_id long, n long, fp long, th long, pre array<long>")
 
     def entries(self, heads: DataFrame, small: int) -> DataFrame:
         """(k, light, fp, n) of every key that at least two classes hold; light keys are pairs of shingles."""
@@ -189,17 +193,17 @@ class JaccardJoin:
     # ---- verification -----------------------------------------------------------------
 
     def sets_of(self, wanted: DataFrame, name: str) -> DataFrame:
-        """(fp, items): the whole sets of wanted(fp), each read from one of its documents."""
+        """(fp, items): the whole sets of wanted(fp), each read from its lead's text, told by hash where ids are null or repeat."""
         q = self.q
         wanted = self.scratch.keep(wanted.select("fp").distinct().join(self.classes, "fp"), f"wanted-{name}")
         side = F.broadcast(wanted) if wanted.count() <= q.small_side else wanted
-        texts = self.docs.join(side, self.docs["doc_id"].eqNullSafe(side["lead"])).select("fp", "text")
+        texts = self.docs.join(side, (self.docs["th"] == side["lead_th"]) & self.docs["doc_id"].eqNullSafe(side["lead"])).select("fp", "text")
 
         def sets(batches):
             for batch in tk.sized_batches(batches):
                 fps, items = [], []
                 for f, a in zip(batch.column(0).to_pylist(), shingle_sets(*tk.text_buffers(batch.column(1)), q.words), strict=True):
-                    if fingerprint(a) == f:  # a repeated doc_id may stand for another text
+                    if fingerprint(a) == f:  # another text may have the same hash
                         fps.append(f)
                         items.append(a.view(np.int64))
                 sizes = np.cumsum([0, *map(len, items)])
@@ -221,9 +225,7 @@ class JaccardJoin:
         # sets that link differ by at most one class of size
         level = F.floor(F.log("n") / F.log(F.lit(q.den / q.num)) + 1e-9).cast("int")
         rows = dense.withColumn("level", level)
-        counts = rows.groupBy("dense", "level").agg(F.ceil(F.greatest(F.sum("n") / q.block_items, F.count("*") / q.block_sets)).cast("int").alias("blocks"))
-        rows = rows.join(counts, ["dense", "level"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        rows = rows.join(self.sets_of(dense, "dense"), "fp").select("dense", "level", "block", "fp", "items")
+        sets = self.sets_of(dense, "dense")
 
         def pack(table):
             lists = table.column("items").combine_chunks()
@@ -232,14 +234,20 @@ class JaccardJoin:
             key = {c: table.column(c)[:1] for c in ("dense", "level", "block")}
             return pa.table({**key, "fps": pa.array([table.column("fp").to_numpy().astype(np.int64).tobytes()]), "sizes": pa.array([sizes.astype(np.int64).tobytes()]), "flat": pa.array([flat.astype(np.int64).tobytes()])})
 
-        packed = keep(rows.groupBy("dense", "level", "block").applyInArrow(pack, "dense long, level int, block int, fps binary, sizes binary, flat binary"), "blocks")
-        names = packed.select("dense", "level", "block")
-        x, y = names.toDF("dense", "level", "block"), names.toDF("dense", "level2", "block2")
-        same = x.join(y.withColumn("level", F.col("level2")), ["dense", "level"]).where("block <= block2").select("dense", "level", "block", "level2", "block2")
-        next_ = x.join(y.withColumn("level", F.col("level2") - 1), ["dense", "level"]).select("dense", "level", "block", "level2", "block2")
-        meetings = same.union(next_)
-        meetings = meetings.join(packed, ["dense", "level", "block"]).join(packed.toDF("dense", "level2", "block2", "fps2", "sizes2", "flat2"), ["dense", "level2", "block2"])
-        meetings = meetings.selectExpr("fps", "sizes", "flat", "fps2", "sizes2", "flat2").repartition(F.xxhash64("fps", "fps2"))
+        def packed(some: DataFrame, name: str) -> DataFrame:
+            """Blocks of the sets of some(fp, n, dense, level)."""
+            counts = some.groupBy("dense", "level").agg(F.ceil(F.greatest(F.sum("n") / q.block_items, F.count("*") / q.block_sets)).cast("int").alias("blocks"))
+            dealt = some.join(counts, ["dense", "level"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            dealt = dealt.join(sets, "fp").select("dense", "level", "block", "fp", "items")
+            return keep(dealt.groupBy("dense", "level", "block").applyInArrow(pack, "dense long, level int, block int, fps binary, sizes binary, flat binary"), name)
+
+        def met(left: DataFrame, right: DataFrame, pairs: str) -> DataFrame:
+            """Links between blocks of left and right of fitting sizes for which ``pairs`` holds."""
+            x = left.select("dense", "level", "block").withColumn("level2", F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)])))
+            y = right.selectExpr("dense", "level level2", "block block2")
+            fits = x.join(y, ["dense", "level2"]).where(pairs)
+            fits = fits.join(left, ["dense", "level", "block"]).join(right.toDF("dense", "level2", "block2", "fps2", "sizes2", "flat2"), ["dense", "level2", "block2"])
+            return fits.selectExpr("fps", "sizes", "flat", "fps2", "sizes2", "flat2").repartition(F.xxhash64("fps", "fps2")).mapInArrow(meet, "a long, b long")
 
         def meet(batches):
             for batch in batches:
@@ -249,8 +257,16 @@ class JaccardJoin:
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             tk.hand_back()
 
-        out = keep(meetings.mapInArrow(meet, "a long, b long"), "dense-links")
-        self.scratch.drop("blocks", "sets-dense", "wanted-dense")
+        blocks = packed(rows, "blocks")
+        first = keep(met(blocks, blocks, "block2 = 0 and (block > 0 or level >= level2)"), "leader-links")
+        known = rows.join(connected_components(first, self.scratch, "leaders").toDF("fp", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        known = keep(known.select("fp", "n", "dense", "level", "comp"), "led")
+        sizes = known.groupBy("dense", "comp").agg(F.count("*").alias("s"))
+        main = sizes.groupBy("dense").agg(F.max(F.struct("s", "comp")).alias("m")).selectExpr("dense", "m.comp main")
+        rest = known.join(main, "dense").where("comp <> main").select("fp", "n", "dense", "level")
+        later = met(packed(rest, "rest"), blocks, "block2 > 0")  # the first blocks have been met
+        out = keep(first.union(later), "dense-links")
+        self.scratch.drop("blocks", "rest", "led", "leader-links", "sets-dense", "wanted-dense")
         return out
 
     def open_pairs(self, members: DataFrame) -> DataFrame:
@@ -286,7 +302,7 @@ class JaccardJoin:
         small = boundary(mean_list, q)
         heads = keep(self.prefixes(hashes, ranks, small), "heads")
         self.scratch.free_shuffles()
-        self.classes = classes = keep(heads.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("lead")), "classes")
+        self.classes = classes = keep(heads.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("m")).selectExpr("fp", "m.doc_id lead", "m.th lead_th"), "classes")
         members = keep(self.entries(heads, small), "members")
         self.scratch.free_shuffles()
         dense = self.dense_groups(members)
@@ -299,6 +315,7 @@ class JaccardJoin:
         labels = connected_components(links.union(inner.select("fp", "comp")), self.scratch, "whole").toDF("fp", "comp")
         named = labels.join(classes, "fp")
         least = named.groupBy("comp").agg(F.min("lead").alias("cid"))
+        self.scratch.drop("members", "known", "open-links", "dense-links", "often")
         ids = classes.join(named.join(least, "comp").select("fp", "cid"), "fp", "left").selectExpr("fp", "coalesce(cid, lead) cid")
         return heads.select("doc_id", "n", "fp").join(ids, "fp", "left").selectExpr("doc_id", "n n_shingles", "case when n = 0 then doc_id else cid end component_id")
 

@@ -10,7 +10,7 @@ probabilities of a history add up to one.
 
 Weights start at the counts' logarithms. Every task runs minibatch gradient steps over its
 own training texts from the same weights and sends the update it made, cut into blocks;
-updates are added tree-wise, weighted by tokens. Counts cover all training texts and grow
+updates are added tree-wise, each weight by the gradients it has seen. Counts cover all training texts and grow
 with the corpus: they stay a distributed table, of which only the most frequent ``hot``
 tokens are broadcast. Rarer tokens of a text meet their counts in a join.
 

@@ -51,7 +51,8 @@ def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
     """The rows with the greatest counts, at most ``limit`` of them.
 
     A histogram of 512 steps at most gives the least count for which the rows fit, so no
-    task sends more than its share; rows of the last step that does not fit stay out.
+    task sends more than its share; rows of the last step that does not fit stay out. If that
+    is the first step, a share of its rows is taken, by hash.
     """
     step = F.floor(F.log2(F.col(column).cast("double")) * 8).cast("int")
     seen = {r["step"]: r["n"] for r in counts.select(step.alias("step")).groupBy("step").agg(F.count("*").alias("n")).collect()}
@@ -61,4 +62,8 @@ def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
         if total > limit:
             break
         least = s
-    return counts.where(step >= least) if least is not None else counts.limit(0)
+    if least is not None or not seen:
+        return counts.where(step >= (least or 0))
+    top = max(seen)
+    share = int(0.95 * limit / seen[top] * (1 << 30))
+    return counts.where((step == top) & (F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 30)) < share))

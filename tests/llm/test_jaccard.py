@@ -71,3 +71,24 @@ def test_block_links_span_all_links():
         return {frozenset(i for i in range(60) if up[i] == u) for u in up}
     want = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     assert close(zip(a.tolist(), b.tolist(), strict=True)) == close(want) and len(a) < 60 <= len(want)
+
+
+def test_a_group_beyond_the_leaders_equals_brute_force(spark):
+    """Chains and clusters tied by a common passage: blocks of three sets, so most links lie outside the leaders."""
+    import random
+
+    from tests.llm.fixtures import prose
+
+    rng = random.Random(13)
+    passage = prose(rng, 14).split()
+    rows = []
+    for c in range(6):
+        own = passage + prose(rng, 40).split()
+        for k in range(14):
+            rows.append((100 * c + k, " ".join(own)))
+            own = [*own]
+            own[rng.randrange(16, len(own))] = prose(rng, 1)  # each links to the next, the ends do not meet
+    rows += [(None, rows[3][1] + " a b"), (None, rows[3][1] + " a b"), (None, rows[20][1] + " q"), (None, prose(rng, 9))] + [(None, prose(rng, 30))] * 5
+    q = jaccard.JoinParams(long=2, block_sets=3, frequent=0)
+    got = jaccard.jaccard_components(doc_frame(spark, rows), q).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
