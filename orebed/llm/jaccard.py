@@ -304,9 +304,12 @@ class JaccardJoin:
         self.scratch.free_shuffles()
         self.classes = classes = keep(heads.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("m")).selectExpr("fp", "m.doc_id lead", "m.th lead_th"), "classes")
         members = keep(self.entries(heads, small), "members")
+        heads = keep(heads.select("doc_id", "n", "fp"), "rows")
+        self.scratch.drop("heads", "often")  # prefixes have done their work
         self.scratch.free_shuffles()
         dense = self.dense_groups(members)
         inner = connected_components(self.dense_links(dense), self.scratch, "inner").toDF("fp", "comp")
+        self.scratch.free_shuffles()
         short = members.groupBy("k").agg(F.count("*").alias("s")).where(F.col("s") <= q.long).select("k")
         known = keep(dense.select("fp", "dense").join(inner, "fp", "left"), "known")
         open_ = members.join(short, "k").join(known, "fp", "left").selectExpr("k", "light", "fp", "n", "coalesce(comp, fp) comp", "dense")
@@ -315,7 +318,7 @@ class JaccardJoin:
         labels = connected_components(links.union(inner.select("fp", "comp")), self.scratch, "whole").toDF("fp", "comp")
         named = labels.join(classes, "fp")
         least = named.groupBy("comp").agg(F.min("lead").alias("cid"))
-        self.scratch.drop("members", "known", "open-links", "dense-links", "often")
+        self.scratch.drop("members", "known", "open-links", "dense-links")
         ids = classes.join(named.join(least, "comp").select("fp", "cid"), "fp", "left").selectExpr("fp", "coalesce(cid, lead) cid")
         return heads.select("doc_id", "n", "fp").join(ids, "fp", "left").selectExpr("doc_id", "n n_shingles", "case when n = 0 then doc_id else cid end component_id")
 
