@@ -60,6 +60,7 @@ SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 #: Features and their numbers of values; tables of up to GROUP values are added up from several features.
 FEATURES = {"length": 16, "kinds": 32, "turns": 28, "vowels": 40, "hex": 2, "number": 2, "issued": 2, "marks": 16, "title": 2, "before": 8, "edges": 16, "named": 8, "named_size": 64, "next": 4, "size_kinds": 96, "changes": 12, "file": 4}
 GROUP = 4096
+BATCH = 1 << 19  # bytes of text worked on at once: features take some dozen arrays of that length
 
 
 def cut_runs(mask: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -466,7 +467,7 @@ def find_secrets(documents: DataFrame) -> DataFrame:
     model = field()
 
     def run(batches):
-        for batch in tk.sized_batches(batches):
+        for batch in tk.sized_batches(batches, BATCH):
             got = scan_rows(*tk.text_buffers(batch.column(1)), model)
             spans = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in row] for row in got], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.record_batch([batch.column(0), spans], names=["doc_id", "spans"])
@@ -490,7 +491,7 @@ def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     model = field()
 
     def run(batches):
-        for batch in tk.sized_batches(batches):
+        for batch in tk.sized_batches(batches, BATCH):
             rows = scan_rows(*tk.text_buffers(batch.column(at)), model)
             texts = batch.column(at).to_pylist()
             for r, spans in enumerate(rows):
